@@ -118,7 +118,7 @@ def parse_text_date(cell: Column, day_first: bool) -> Column:
         return F.trim(iso).try_cast("timestamp_ntz")
 
     preferred, other = (("1", "2"), ("2", "1")) if day_first else (("2", "1"), ("1", "2"))
-    month_at = F.locate(
+    month_at = F.position(
         F.lower(F.substring(F.regexp_extract(clock, r"([A-Za-z]{3,9})", 1), 1, 3)),
         F.lit("jan feb mar apr may jun jul aug sep oct nov dec"))
     month = F.floor((month_at + 3) / 4).cast("string")

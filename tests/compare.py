@@ -76,7 +76,7 @@ def main():
                 continue
             why = difference(got, con.execute(oracle[name]).df())
         except Exception as error:                            # report and go on
-            why, took, got = f"{type(error).__name__}: {str(error)[:1500]}", time.time() - start, []
+            why, took, got = f"{type(error).__name__}: {str(error)[:700]}", time.time() - start, []
         bad += why is not None
         print(f"{'ok  ' if why is None else 'FAIL'} {name} {len(got)} {took:.1f}s {why or ''}",
               flush=True)
