@@ -94,60 +94,52 @@ def from_epoch_seconds(seconds: Column) -> Column:
             + F.make_dt_interval(zero, zero, zero, exact))
 
 
+# Rewrites to ISO, tried in turn; each leaves text of another shape alone.
+_COMPACT_DAY = (r"^(\d{4})(\d{2})(\d{2})(?=$|[T ]|\d{4}$|\d{6}$)[T ]?", "$1-$2-$3 ")
+_COMPACT_CLOCK = (r"^(\d{4}-\d{2}-\d{2}) (\d{2})(\d{2})(\d{2})?$", "$1 $2:$3:0$4")
+_YEAR_FIRST = (r"^(\d{4})[./](\d{1,2})[./](\d{1,2})", "$1-$2-$3")
+_TWO_DIGIT_2000 = (r"^(\d{1,2}[./-] ?\d{1,2}[./-] ?)(?=[0-6]\d(?!\d))", "$120")
+_TWO_DIGIT_1900 = (r"^(\d{1,2}[./-] ?\d{1,2}[./-] ?)(?=\d{2}(?!\d))", "$119")
+_DAY_MONTH = (r"^(\d{1,2})[./-] ?(0?[1-9]|1[0-2])[./-] ?(\d{4})(?!\d),?", "$3-$2-$1")
+_MONTH_DAY = (r"^(0?[1-9]|1[0-2])[./-] ?(\d{1,2})[./-] ?(\d{4})(?!\d),?", "$3-$1-$2")
+_HALF_DAY = r"(?i)\s*([ap])\.?m\.?$"
+
+
 def parse_text_date(cell: Column, day_first: bool) -> Column:
     """Text -> timestamp for ISO, day/month and month/day with ``. / -``, compact
     ``yyyyMMdd`` and English month names, each with or without a time; else null.
 
-    Every spelling is rewritten to ISO by one replacement and read by the non-throwing
-    cast. When the preferred day/month order is impossible the other one is taken.
+    Every spelling is rewritten to ISO and read by one non-throwing cast. When the
+    preferred day/month order is impossible the other one is taken. Two-digit years below
+    70 are of this century.
     """
-    text = F.trim(F.regexp_replace(cell, r"\s+", " "))
-    clock = F.regexp_replace(text, r"(?i)\s*([ap])\.?m\.?$", "")
-
-    def day_month(day: str, month: str) -> Column:
-        century = F.when(
-            clock.rlike(r"^\d{1,2}[./-] ?\d{1,2}[./-] ?\d{4}\b"), F.lit("")
-        ).otherwise(
-            F.when(F.regexp_extract(clock, r"^\d{1,2}[./-] ?\d{1,2}[./-] ?(\d{2})\b", 1)
-                   .try_cast("int") < 70, "20").otherwise("19"))
-        return F.concat(century, F.regexp_replace(
-            clock, r"^(\d{1,2})[./-] ?(\d{1,2})[./-] ?(\d{4}|\d{2})(?:,? |$)",
-            f"$3-${month}-${day} "))
-
-    def read(iso: Column) -> Column:
-        return F.trim(iso).try_cast("timestamp_ntz")
-
-    preferred, other = (("1", "2"), ("2", "1")) if day_first else (("2", "1"), ("1", "2"))
+    text = F.trim(cell)
+    clock = F.regexp_replace(text, _HALF_DAY, "")
+    iso = clock
+    order = [_DAY_MONTH, _MONTH_DAY] if day_first else [_MONTH_DAY, _DAY_MONTH]
+    for pattern, target in [_COMPACT_DAY, _COMPACT_CLOCK, _YEAR_FIRST, _TWO_DIGIT_2000,
+                            _TWO_DIGIT_1900, *order]:
+        iso = F.regexp_replace(iso, pattern, target)
     month_at = F.position(
         F.lower(F.substring(F.regexp_extract(clock, r"([A-Za-z]{3,9})", 1), 1, 3)),
         F.lit("jan feb mar apr may jun jul aug sep oct nov dec"))
-    month = F.floor((month_at + 3) / 4).cast("string")
     by_name = F.concat_ws(
         " ",
         F.concat_ws(
             "-",
             F.regexp_extract(clock, r"\b(\d{4})\b", 1),
-            F.when((month_at > 0) & (month_at % 4 == 1), month).otherwise("x"),
+            F.when(month_at > 0, F.floor((month_at + 3) / 4).cast("string")).otherwise("x"),
             F.regexp_extract(clock, r"(?:^|[A-Za-z,. -])(\d{1,2})(?:st|nd|rd|th)?(?:[ ,.-]|$)", 1)),
         F.regexp_extract(clock, r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)", 1))
-
-    base = (
-        F.when(clock.rlike(r"^\d{4}[-./]\d{1,2}[-./]\d{1,2}"),
-               read(F.regexp_replace(clock, r"^(\d{4})[-./](\d{1,2})[-./](\d{1,2})",
-                                     "$1-$2-$3")))
-        .when(clock.rlike(r"^\d{1,2}[./-] ?\d{1,2}[./-] ?\d{2,4}"),
-              F.coalesce(read(day_month(*preferred)), read(day_month(*other))))
-        .when(clock.rlike(r"^\d{8}(?:[T ]?\d{4}(?:\d{2})?)?$"),
-              read(F.regexp_replace(
-                  F.regexp_replace(clock, r"^(\d{4})(\d{2})(\d{2})[T ]?", "$1-$2-$3 "),
-                  r" (\d{2})(\d{2})(\d{2})?$", " $1:$2:0$3")))
-        .when(clock.rlike(r"[A-Za-z]{3}") & clock.rlike(r"\b\d{4}\b"), read(by_name)))
-    hour = F.hour(base)
-    shift = (F.when(text.rlike(r"(?i)\d\s*p\.?m\.?$") & (hour < 12), 12)
-              .when(text.rlike(r"(?i)\d\s*a\.?m\.?$") & (hour == 12), -12)
+    stamp = F.trim(F.when(clock.rlike(r"[A-Za-z]{3}"), by_name).otherwise(iso)) \
+        .try_cast("timestamp_ntz")
+    half = F.lower(F.regexp_extract(text, _HALF_DAY, 1))
+    hour = F.regexp_extract(text, r"(\d{1,2}):\d{2}", 1)
+    twelve = hour == "12"
+    shift = (F.when((half == "p") & ~twelve, 12).when((half == "a") & twelve, -12)
               .otherwise(0))
     zero = F.lit(0)
-    return base + F.make_dt_interval(zero, shift, zero, zero)
+    return stamp + F.make_dt_interval(zero, shift, zero, zero)
 
 
 def parse_date(cell: Column, style: DateStyle) -> Column:

@@ -59,13 +59,15 @@ def factor_effects(combined: DataFrame, min_days: int = 30) -> DataFrame:
         sum_units(F.when(value == 1, revenue)).alias("on_units"),
         sum_units(F.when(value == 0, revenue)).alias("off_units"),
         (F.min("value") < F.max("value")).alias("varies"),
-        F.corr("value", "revenue").alias("r")))
+        F.try_divide(F.covar_pop("value", "revenue"),
+                     F.stddev_pop("value") * F.stddev_pop(F.when(value.isNotNull(), revenue)))
+        .alias("r")))
     avg_on = F.try_divide(amount(F.col("on_units")), F.col("on_days"))
     avg_off = F.try_divide(amount(F.col("off_units")), F.col("off_days"))
     is_flag = ((F.col("on_days") + F.col("off_days") == F.col("known"))
                & (F.col("on_days") > 0) & (F.col("off_days") > 0))
     usable = F.when(is_flag, (F.col("on_days") >= 3) & (F.col("off_days") >= 3)
-                    & (avg_off != 0)).otherwise(F.col("varies") & ~F.isnan("r"))
+                    & (avg_off != 0)).otherwise(F.col("varies") & F.col("r").isNotNull())
     lift = F.try_divide(avg_on - avg_off, avg_off) * 100
     judged = (stats.where((F.col("days") >= min_days) & (F.col("known") >= min_days) & usable)
               .select(

@@ -188,7 +188,7 @@ rendered AS (
     strftime({_STAMP}, '%-d.%-m.%Y') AS dotted, strftime({_STAMP}, '%d/%m/%Y') AS slashed,
     strftime({_STAMP}, '%m/%d/%Y') AS american,
     CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS DOUBLE) AS excel,
-    epoch(o_orderdate) AS seconds FROM orders)"""
+    epoch(o_orderdate) + 3652 * 86400 AS seconds, o_orderdate + to_days(3652) AS later FROM orders)"""
 _KIND = """SELECT '{0}' AS rendering,
     CASE WHEN median({0}) BETWEEN 20000 AND 80000 THEN 'excel' WHEN median({0}) BETWEEN 1e9 AND 3e9 THEN 'seconds'
          WHEN median({0}) BETWEEN 1e12 AND 3e12 THEN 'millis' ELSE 'text' END AS kind,
@@ -227,7 +227,8 @@ ORACLE.update({
     "parse_dates": f"""WITH {_RENDERED} SELECT order_id, {_FULL.format('stamp')} AS iso,
         {_FULL.format('stamp')} AS dotted, {_FULL.format('stamp')} AS american,
         {', '.join(_FULL.format('d') + ' AS ' + c for c in
-                   ('slashed', 'compact', 'named', 'excel', 'seconds', 'millis'))} FROM rendered""",
+                   ('slashed', 'compact', 'named', 'excel'))},
+        {_FULL.format('later')} AS seconds, {_FULL.format('later')} AS millis FROM rendered""",
     "order_id_synthesis": f"""WITH {LINES_TPCH} SELECT customer_id || '@' || strftime(order_date, '%Y-%m-%d') AS order_id,
         count(*) AS rows FROM lines GROUP BY 1""",
     "derive_prices": f"""WITH {LINES_TPCH_ALL} SELECT order_id, line_number,
@@ -509,12 +510,12 @@ ORACLE.update({
     "silhouette": f"""WITH {LINES_TPCH}{SCORED}{SCALED},
         pt AS (SELECT customer_id, segment, {', '.join('z_' + c for c in _MODEL)} FROM scaled),
         size AS (SELECT segment, count(*) AS n FROM pt GROUP BY 1),
-        dist AS (SELECT p.customer_id, p.segment AS own, q.segment AS other,
+        gap AS (SELECT p.customer_id, p.segment AS own, q.segment AS other,
                    sum(sqrt({' + '.join(f'(p.z_{c} - q.z_{c}) ** 2' for c in _MODEL)})) AS total
                  FROM pt p CROSS JOIN pt q GROUP BY 1, 2, 3),
         ab AS (SELECT customer_id, max(CASE WHEN own = other THEN total / greatest(n - 1, 1) END) AS a,
                  min(CASE WHEN own <> other THEN total / n END) AS b, max(CASE WHEN own = other THEN n END) AS own_n
-               FROM dist JOIN size ON size.segment = dist.other GROUP BY 1)
+               FROM gap JOIN size ON size.segment = gap.other GROUP BY 1)
         SELECT round_even(avg(CASE WHEN own_n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6)
           AS silhouette FROM ab""",
 })
@@ -633,3 +634,22 @@ ORACLE.update({
         FROM (SELECT list_extract(['Kč', '€', '$', '£', 'CHF'], CAST(o_orderkey % 5 + 1 AS INTEGER)) AS symbol FROM orders)
         GROUP BY 1, 2""",
 })
+
+
+# Voucher phrases and bare codes, spelled without lookahead.
+_CODE_LETTERS = "A-ZÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ"
+_C = f"[0-9{_CODE_LETTERS}-]"
+_BARE = (f"\\\\b[{_CODE_LETTERS}](?:{_C}{{{{2,}}}}[0-9]{_C}*|{_C}[0-9]{_C}+|[0-9]{_C}{{{{2,}}}})\\\\b"
+         .replace("{{", "{").replace("}}", "}").replace("\\\\", "\\"))
+_PHRASE = (r"\s*(?:s\s+)?(?:kódem|kódu|kód|kupónem|kupón|voucher|coupon|(?:use\s+|with\s+)?code)"
+           "\\s*[:\"''„]?\\s*[0-9_" + _CODE_LETTERS + "-]{3,}[\"“]?")
+_DISCOUNT = (r"[0-9]+\s*%|(?:kč|czk|eur|€|\$|£)\s*[0-9]+|[0-9]+\s*(?:kč|czk|eur)\b|[0-9]+\s*[€$£]")
+
+ORACLE["copy_audit"] = f"""
+WITH t AS (SELECT doc_id, replace(text || ' Use code SAVE' || doc_id ||
+             CASE WHEN doc_id % 3 = 0 THEN ' for 20 % off' ELSE ' today' END || ' or KEEP7 now', 'KEEP7', chr(57344)) AS copy
+           FROM documents),
+c AS (SELECT doc_id, replace(trim(regexp_replace(regexp_replace(regexp_replace(copy, '{_PHRASE}', '', 'gi'),
+        '{_BARE}', '', 'g'), '\\s{{2,}}', ' ', 'g'), ' ,;:–-'), chr(57344), 'KEEP7') AS clean FROM t)
+SELECT doc_id, md5(clean) AS clean_md5, CAST(length(clean) AS INTEGER) AS clean_length,
+       regexp_matches(clean, '{_DISCOUNT}', 'i') AS promises_discount FROM c"""

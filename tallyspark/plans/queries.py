@@ -255,13 +255,13 @@ def parse_numbers_us(spark, sf):
 
 
 def date_renderings(spark, sf):
-    """Order dates written in eight ways."""
+    """Order dates written in nine ways; the epoch counts are ten years later."""
     stamp = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), (F.col("o_orderkey") % 24).cast("int"),
         (F.col("o_orderkey") % 60).cast("int"), F.lit(0))
     days = F.datediff("o_orderdate", F.lit("1899-12-30").cast("date")).cast("string")
-    seconds = (F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("long")
-               * 86400)
+    seconds = ((F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")) + 3652)
+               .cast("long") * 86400)
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("order_id"),
         F.date_format(stamp, "yyyy-MM-dd HH:mm").alias("iso"),
