@@ -114,12 +114,19 @@ def parse_text_date(cell: Column, day_first: bool) -> Column:
     70 are of this century.
     """
     text = F.trim(cell)
-    clock = F.regexp_replace(text, _HALF_DAY, "")
-    iso = clock
+    marked = F.right(text, F.lit(1)).isin("m", "M", ".")     # cheap test before the regex
+    clock = F.when(marked, F.regexp_replace(text, _HALF_DAY, "")).otherwise(text)
+
+    def rewritten(steps):
+        out = clock
+        for pattern, target in steps:
+            out = F.regexp_replace(out, pattern, target)
+        return out
+
     order = [_DAY_MONTH, _MONTH_DAY] if day_first else [_MONTH_DAY, _DAY_MONTH]
-    for pattern, target in [_COMPACT_DAY, _COMPACT_CLOCK, _YEAR_FIRST, _TWO_DIGIT_2000,
-                            _TWO_DIGIT_1900, *order]:
-        iso = F.regexp_replace(iso, pattern, target)
+    separators = [".", "/", "-"]
+    starts_short = (F.substring(text, 2, 1).isin(separators)
+                    | F.substring(text, 3, 1).isin(separators))
     month_at = F.position(
         F.lower(F.substring(F.regexp_extract(clock, r"([A-Za-z]{3,9})", 1), 1, 3)),
         F.lit("jan feb mar apr may jun jul aug sep oct nov dec"))
@@ -131,11 +138,13 @@ def parse_text_date(cell: Column, day_first: bool) -> Column:
             F.when(month_at > 0, F.floor((month_at + 3) / 4).cast("string")).otherwise("x"),
             F.regexp_extract(clock, r"(?:^|[A-Za-z,. -])(\d{1,2})(?:st|nd|rd|th)?(?:[ ,.-]|$)", 1)),
         F.regexp_extract(clock, r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)", 1))
-    stamp = F.trim(F.when(clock.rlike(r"[A-Za-z]{3}"), by_name).otherwise(iso)) \
-        .try_cast("timestamp_ntz")
-    half = F.lower(F.regexp_extract(text, _HALF_DAY, 1))
-    hour = F.regexp_extract(text, r"(\d{1,2}):\d{2}", 1)
-    twelve = hour == "12"
+    iso = (F.when(F.substring(text, 5, 1) == "-", clock)
+            .when(clock.rlike("[A-Za-z]{3}"), by_name)
+            .when(starts_short, rewritten([_TWO_DIGIT_2000, _TWO_DIGIT_1900, *order]))
+            .otherwise(rewritten([_COMPACT_DAY, _COMPACT_CLOCK, _YEAR_FIRST])))
+    stamp = F.trim(iso).try_cast("timestamp_ntz")
+    half = F.when(marked, F.lower(F.regexp_extract(text, _HALF_DAY, 1)))
+    twelve = F.regexp_extract(text, r"(\d{1,2}):\d{2}", 1) == "12"
     shift = (F.when((half == "p") & ~twelve, 12).when((half == "a") & twelve, -12)
               .otherwise(0))
     zero = F.lit(0)

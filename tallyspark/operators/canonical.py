@@ -22,6 +22,16 @@ def map_columns(raw: DataFrame, mapping: dict[str, str] | None = None) -> DataFr
                         for name, source in wanted.items() if source in present])
 
 
+def compute_once(df: DataFrame, costly: list[Column], carried: list[Column]) -> DataFrame:
+    """``costly`` and ``carried`` columns, the costly ones evaluated once per row.
+
+    Filters on plain projections are pushed below them with their expressions copied; for
+    text parsing that doubles the work. A generator row is not looked through. Carried
+    columns stay prunable.
+    """
+    return df.select(*carried, F.inline(F.array(F.struct(*costly))))
+
+
 def require_columns(columns: list[str]) -> None:
     for name in ("customer_id", "order_date"):
         if name not in columns:
@@ -76,7 +86,7 @@ def canonicalize(raw: DataFrame, mapping: dict[str, str] | None = None, decimal:
         return number_column(F.col(name), types[name], decimal)
 
     customer = F.trim(F.col("customer_id").cast("string"))
-    parsed = df.select(
+    parsed_columns = [
         customer.alias("customer_id"),
         parse_date(F.col("order_date"), style).alias("order_date"),
         (F.col("order_id").cast("string") if "order_id" in has
@@ -87,10 +97,14 @@ def canonicalize(raw: DataFrame, mapping: dict[str, str] | None = None, decimal:
          else F.lit(None).cast("double")).alias("given_price"),
         (number("line_value") if "line_value" in has
          else F.lit(None).cast("double")).alias("given_total"),
+    ]
+    carried = [
         *[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in has
            else F.lit("")).alias(c) for c in ("product", "country")],
         *[plain_text(F.col(c)).alias(c) for c in S.PASSTHROUGH if c in has],
-    )
+    ]
+    parsed = (compute_once(df, parsed_columns, carried) if style.kind != "timestamp"
+              else df.select(*parsed_columns, *carried))
     price = (F.col("given_price") if "unit_price" in has
              else derived_price(F.col("given_total"), F.col("quantity")))
     priced = parsed.withColumn("unit_price", price)

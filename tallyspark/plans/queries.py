@@ -21,6 +21,7 @@ from ..operators.canonical import (
     canonicalize, derived_price, ingest_report, kept, synthetic_order_id)
 from ..operators.header_mapping import column_evidence, map_headers, missing_required
 from ..session import stage, stage_path
+from . import analysis
 from ..sources import sinks
 from ..sources.catalog_table import read_catalog
 from ..sources.dialects import dialect_profile
@@ -659,8 +660,8 @@ def silhouette(spark, sf):
 
 @query
 def kmeans(spark, sf):
-    return clusters.kmeans_labels(stage(clusters.scale_features(features_tpch(spark, sf)),
-                                        "scaled"))
+    scaled = stage(clusters.scale_features(features_tpch(spark, sf)), "scaled")
+    return clusters.kmeans_labels(scaled).select("customer_id", "cluster")
 
 
 # --- history ----------------------------------------------------------------------------------
@@ -790,3 +791,15 @@ def currency_of_orders(spark, sf):
     return (table(spark, sf, "orders").select(currency_symbol(code).alias("symbol"))
             .withColumn("language", content_language(F.col("symbol")))
             .groupBy("symbol", "language").agg(F.count(F.lit(1)).alias("orders")))
+
+
+# --- end to end -----------------------------------------------------------------------------------
+
+@query
+def analysis_tables(spark, sf):
+    """The whole run over the messy text lines: every result table with its row count."""
+    canonical = canonicalize(messy_lines(spark, sf), MESSY_MAPPING, ",")
+    result = analysis.analyze(canonical, currency="CZK")
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        for name, df in result.items()])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_text_date
 from ..functions.numbers import czech_money, plain_number
-from ..operators.canonical import canonicalize_shop
+from ..operators.canonical import canonicalize_shop, compute_once
 
 # Columns of the export that are used.
 COLUMNS = ["customer_key", "order_id", "order_datetime", "product_quantity", "unit_price",
@@ -22,15 +22,16 @@ def typed_shop_lines(raw: DataFrame) -> DataFrame:
         return (F.coalesce(F.col(name).cast("string"), F.lit("")) if name in raw.columns
                 else F.lit(""))
 
-    return raw.select(
+    costly = [parse_text_date(text("order_datetime"), day_first=False).alias("order_date"),
+              czech_money(text("revenue_per_line")).alias("line_value")]
+    carried = [
         text("customer_key").alias("customer_id"), text("order_id").alias("order_id"),
-        parse_text_date(text("order_datetime"), day_first=False).alias("order_date"),
         plain_number(text("product_quantity")).alias("quantity"),
         czech_money(text("unit_price")).alias("unit_price"),
-        czech_money(text("revenue_per_line")).alias("line_value"),
         czech_money(text("cost_per_line")).alias("line_cost"),
         text("product_id").alias("product"), text("country").alias("country"),
-        text("order_status").alias("status"), text("zip_prefix").alias("zip_prefix"))
+        text("order_status").alias("status"), text("zip_prefix").alias("zip_prefix")]
+    return compute_once(raw, costly, carried)
 
 
 def read_partner_shop(spark: SparkSession, path: str) -> DataFrame:
