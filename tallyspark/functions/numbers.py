@@ -14,9 +14,13 @@ def is_numeric_type(data_type: T.DataType) -> bool:
     return isinstance(data_type, T.NumericType)
 
 
+def is_plain_number(cell: Column) -> Column:
+    return cell.rlike(_PLAIN_NUMBER)
+
+
 def plain_number(cell: Column) -> Column:
     """Text -> double when the whole cell is a number, else null."""
-    return F.when(cell.rlike(_PLAIN_NUMBER), F.trim(cell).try_cast("double"))
+    return F.when(is_plain_number(cell), F.trim(cell).try_cast("double"))
 
 
 def locale_number(cell: Column, decimal: str = ".") -> Column:
@@ -25,12 +29,13 @@ def locale_number(cell: Column, decimal: str = ".") -> Column:
     ``decimal=','`` reads dots as thousands separators and the comma as the decimal mark;
     ``decimal='.'`` drops commas. What is left over and is no number gives null.
     """
-    bare = F.regexp_replace(cell, r"[^\d,.\-]", "")
-    if decimal == ",":
-        bare = F.translate(bare, ",.", ".")      # ',' -> '.', '.' -> dropped
-    else:
-        bare = F.translate(bare, ",", "")
-    return bare.try_cast("double")
+    def read(text):
+        # ',' decimal: ',' -> '.', '.' dropped; '.' decimal: ',' dropped
+        return (F.translate(text, ",.", ".") if decimal == "," else F.translate(text, ",", "")) \
+            .try_cast("double")
+
+    foreign = cell.rlike(r"[^\d,.\-]")          # bare cells skip the costly rewrite
+    return read(F.when(foreign, F.regexp_replace(cell, r"[^\d,.\-]+", "")).otherwise(cell))
 
 
 def number_column(cell: Column, data_type: T.DataType, decimal: str = ".") -> Column:

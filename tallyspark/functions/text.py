@@ -8,15 +8,32 @@ from pyspark.sql import functions as F
 # Words that never name a category.
 STOP_WORDS = ["a", "an", "the", "and", "or", "for", "of", "in", "with", "to",
               "na", "pro", "ke", "ve", "ze", "se", "do", "od", "po"]
-# Fixed value: characters stripped from both ends of a word.
-WORD_TRIM = "().[]{}\"'"
-# Fixed value: separators between words.
-WORD_SPLIT = r"(?U)[\s\-_/|,]+"
+# Separators between words, and characters stripped from both ends of one.
+_GAP = r"\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\-_/|,"
+_RIM = r"().\[\]{}\"'"
+# A word of three or more characters that is neither a stop word nor all digits, in
+# lower-case text.
+TELLING_WORD = (
+    rf"(?<![^{_GAP}])[{_RIM}]*"
+    rf"(?!(?:{'|'.join(STOP_WORDS)}|\p{{Nd}}+)[{_RIM}]*(?![^{_GAP}]))"
+    rf"([^{_GAP}{_RIM}][^{_GAP}]+[^{_GAP}{_RIM}])"
+    rf"[{_RIM}]*(?![^{_GAP}])")
 
 
 def _capitalised(word: Column) -> Column:
     return F.concat(F.upper(F.substring(word, 1, 1)),
-                    F.lower(F.right(word, F.length(word) - 1)))
+                    F.lower(F.substring(word, F.lit(2), F.length(word))))
+
+
+def telling_word(name: Column) -> Column:
+    """The first word that tells something, in lower case; '' without one."""
+    return F.regexp_extract(F.lower(name), TELLING_WORD, 1)
+
+
+def category_from_word(name: Column, word: Column) -> Column:
+    return (F.when(word != "", _capitalised(word))
+             .when(name.rlike(r"(?U)\S"), _capitalised(F.substring(name, 1, 20)))
+             .otherwise("Other"))
 
 
 def category_from_text(name: Column) -> Column:
@@ -25,13 +42,7 @@ def category_from_text(name: Column) -> Column:
     A word tells something when it has three letters or more, is no stop word and is not
     all digits. Without one the first 20 characters serve; blank text gives 'Other'.
     """
-    words = F.transform(F.split(name, WORD_SPLIT), lambda w: F.btrim(w, F.lit(WORD_TRIM)))
-    telling = F.filter(words, lambda w: (F.length(w) >= 3)
-                       & ~F.lower(w).isin(STOP_WORDS)
-                       & ~w.rlike(r"(?U)^\d+$"))
-    return (F.when(name.isNull() | name.rlike(r"(?U)^\s*$"), "Other")
-             .when(F.size(telling) > 0, _capitalised(F.element_at(telling, 1)))
-             .otherwise(_capitalised(F.substring(name, 1, 20))))
+    return category_from_word(name, telling_word(name))
 
 
 def category_label(cell: Column) -> Column:
@@ -44,11 +55,11 @@ def category_label(cell: Column) -> Column:
 _CODE_LETTERS = "ÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ"
 # A word announcing a voucher code, followed by the code.
 CODE_PHRASE = (
-    r"(?iuU)\s*(?:s\s+)?(?:kódem|kódu|kód|kupónem|kupón|voucher|coupon|(?:use\s+|with\s+)?code)"
+    r"(?iuU)\s*(?:s\s+)?(?:k(?:ódem|ódu|ód|upónem|upón)|voucher|coupon|(?:use\s+|with\s+)?code)"
     r"\s*[:\"'„]?\s*[A-Z0-9" + _CODE_LETTERS + r"_-]{3,}[\"'“]?")
 # Fixed value: a capital word of four or more characters holding a digit.
 BARE_CODE = (
-    r"(?U)\b(?=[A-Z0-9" + _CODE_LETTERS + r"-]*\d)[A-Z" + _CODE_LETTERS + r"]"
+    r"(?U)(?=[A-Z" + _CODE_LETTERS + r"])\b(?=[A-Z0-9" + _CODE_LETTERS + r"-]*\d)[A-Z" + _CODE_LETTERS + r"]"
     r"[A-Z0-9" + _CODE_LETTERS + r"-]{3,}\b")
 # Fixed value: a concrete discount: a percentage, or an amount with its currency.
 CONCRETE_DISCOUNT = (

@@ -7,8 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import UnusableInput
 from ..functions.dates import whole_days
-from ..functions.money import SCALE, amount, sum_units, units
+from ..functions.money import SCALE, amount, sum_units
+from ..session import stage
 from .canonical import REASON
 
 
@@ -17,7 +19,7 @@ def product_flag(lines: DataFrame) -> Column:
 
 
 def order_rollup(lines: DataFrame) -> DataFrame:
-    """One row per order: its customer, first date, value and product quantity.
+    """One row per order: its customer, first and last date, value and product quantity.
 
     An order shared by several customers belongs to the customer of its earliest line
     (then the lowest id). Money and quantity are kept in ten-thousandths.
@@ -25,16 +27,12 @@ def order_rollup(lines: DataFrame) -> DataFrame:
     return lines.groupBy("order_id").agg(
         F.min_by("customer_id", F.struct("order_date", "customer_id")).alias("customer_id"),
         F.min("order_date").alias("order_date"),
+        F.max("order_date").alias("last_line"),
         sum_units(F.col("line_value")).alias("value_units"),
         sum_units(F.when(product_flag(lines), F.col("quantity"))).alias("item_units"),
     )
 
 
-def snapshot_after(lines: DataFrame) -> datetime:
-    """The moment recency is measured from: a day after the last line."""
-    return lines.agg(F.max("order_date").cast("timestamp_ntz")).first()[0] + timedelta(days=1)
-
-
 def product_diversity(lines: DataFrame) -> DataFrame:
     """Distinct products per customer, counted in two steps so that a customer with a
     large share of the lines never meets one task as a set."""
@@ -52,15 +50,26 @@ def dominant_country(lines: DataFrame) -> DataFrame:
          .alias("country"))
 
 
-def customer_activity(orders: DataFrame, snapshot: datetime) -> DataFrame:
-    """Recency, frequency, spend, basket and tenure per customer from the order roll-up."""
-    per_customer = orders.groupBy("customer_id").agg(
+def customer_activity(lines: DataFrame, snapshot: datetime | None = None) -> DataFrame:
+    """Recency, frequency, spend, basket and tenure per customer.
+
+    Recency is measured from ``snapshot``, by default a day after the last line. That date
+    is read off the per-customer table, which is staged for it: the lines are read once.
+    """
+    per_customer = order_rollup(lines).groupBy("customer_id").agg(
         F.min("order_date").alias("first_seen"),
         F.max("order_date").alias("last_seen"),
+        F.max("last_line").alias("last_line"),
         F.count(F.lit(1)).alias("frequency"),
         F.sum("value_units").alias("spend"),
         F.sum("item_units").alias("items"),
     )
+    if snapshot is None:
+        per_customer = stage(per_customer, "activity")
+        last = per_customer.agg(F.max("last_line").cast("timestamp_ntz")).first()[0]
+        if last is None:
+            raise UnusableInput("no order lines")
+        snapshot = last + timedelta(days=1)
     now = F.lit(snapshot.isoformat(sep=" ")).cast("timestamp_ntz")
     tenure = whole_days(F.col("last_seen"), F.col("first_seen"))
     scaled_orders = F.col("frequency") * F.lit(SCALE)
@@ -82,14 +91,9 @@ def customer_features(lines: DataFrame, snapshot: datetime | None = None) -> Dat
     """One row per customer. The three branches end hash-partitioned by customer, so
     joining them needs no further shuffle."""
     assert REASON not in lines.columns, "pass kept(canonical), not the flagged frame"
-    snapshot = snapshot or snapshot_after(lines)
-    return (customer_activity(order_rollup(lines), snapshot)
+    return (customer_activity(lines, snapshot)
             .join(product_diversity(lines), "customer_id", "left")
             .join(dominant_country(lines), "customer_id", "left")
             .withColumn("distinct_products",
                         F.coalesce("distinct_products", F.lit(0).cast("long"))))
 
-
-def spend_units(monetary: Column) -> Column:
-    """Back from the double amount to the exact ten-thousandths it was made from."""
-    return units(monetary)

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import amount, grand_total, half_even, sum_units
-from ..functions.text import category_from_text, category_label
+from ..functions.money import amount, half_even, sum_units
+from ..functions.text import category_from_word, category_label, telling_word
 from ..schema import CATALOG_COLUMNS
+from .canonical import compute_once
 
 
-def category_column(columns: list[str]) -> Column:
-    """The best category the frame offers: a ready one, the catalog's, or one made from
-    the product text."""
+def with_category(lines: DataFrame, carried: list[str]) -> DataFrame:
+    """The ``carried`` columns and the best ``category`` the frame offers: a ready one, the
+    catalog's, or one made from the product text (the word is searched once per line)."""
+    columns = lines.columns
     for ready in ("category", "cat_2_name", "cat_1_name"):
         if ready in columns:
-            return category_label(F.col(ready))
+            return lines.select(*carried, category_label(F.col(ready)).alias("category"))
     for text in ("product_name", "product_desc", "description", "product"):
         if text in columns:
-            return category_from_text(F.col(text).cast("string"))
-    return F.lit("Other")
+            name = F.col(text).cast("string")
+            found = compute_once(lines, [telling_word(name).alias("word")],
+                                 [*map(F.col, carried), name.alias("name")])
+            return found.select(*carried, category_from_word(F.col("name"), F.col("word"))
+                                .alias("category"))
+    return lines.select(*carried, F.lit("Other").alias("category"))
 
 
 def product_mix(lines: DataFrame, segments: DataFrame, top_n: int = 12) -> DataFrame:
@@ -30,7 +36,8 @@ def product_mix(lines: DataFrame, segments: DataFrame, top_n: int = 12) -> DataF
     customers of a cell are then plain rows. Only the ``top_n`` category names are
     broadcast.
     """
-    bought = (lines.groupBy("customer_id", category_column(lines.columns).alias("category"))
+    bought = (with_category(lines, ["customer_id", "line_value"])
+              .groupBy("customer_id", "category")
               .agg(sum_units(F.col("line_value")).alias("units")))
     cells = (bought.join(segments.select("customer_id", "segment")
                          .where(F.col("segment").isNotNull()), "customer_id")
@@ -95,9 +102,3 @@ def complete_catalog(lines: DataFrame, catalog: DataFrame, key: str = "product")
     """The catalog followed by placeholder rows for what the lines hold besides it."""
     return catalog.unionByName(placeholder_rows(missing_products(lines, catalog, key)))
 
-
-def category_totals(lines: DataFrame) -> DataFrame:
-    """(category, revenue) over all lines."""
-    return (lines.groupBy(category_column(lines.columns).alias("category"))
-            .agg(sum_units(F.col("line_value")).alias("units"))
-            .groupBy("category").agg(grand_total(F.col("units")).alias("revenue")))

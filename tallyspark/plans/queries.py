@@ -49,15 +49,11 @@ def features_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def activity_tpch(spark: SparkSession, sf: str) -> DataFrame:
     """Only what scoring needs: no diversity and no country branch."""
-    lines = lines_tpch(spark, sf)
-    return stage(feat.customer_activity(feat.order_rollup(lines), feat.snapshot_after(lines)),
-                 "activity")
+    return feat.customer_activity(lines_tpch(spark, sf))
 
 
 def activity_events(spark: SparkSession, sf: str) -> DataFrame:
-    lines = lines_events(spark, sf)
-    return stage(feat.customer_activity(feat.order_rollup(lines), feat.snapshot_after(lines)),
-                 "activity")
+    return feat.customer_activity(lines_events(spark, sf))
 
 
 def scored_tpch(spark: SparkSession, sf: str) -> DataFrame:
@@ -673,8 +669,7 @@ def segment_migration(spark, sf):
     lines = lines_tpch(spark, sf)
 
     def segments(part):
-        return seg.score_customers(stage(feat.customer_activity(
-            feat.order_rollup(part), feat.snapshot_after(part)), "activity"))
+        return seg.score_customers(feat.customer_activity(part))
 
     cut = F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")
     sinks.append_snapshot(segments(lines.where(F.col("order_date") < cut)), path,
@@ -758,8 +753,7 @@ def contacts(spark, sf):
 
 def _recipients(spark, sf):
     lines = contact_lines(spark, sf)
-    scored = stage(seg.score_customers(stage(feat.customer_activity(
-        feat.order_rollup(lines), feat.snapshot_after(lines)), "activity")), "scored")
+    scored = stage(seg.score_customers(feat.customer_activity(lines)), "scored")
     return scored, audience.recipients(
         audience.customer_table(scored, audience.contacts(lines)))
 

@@ -31,7 +31,8 @@ def shape_factors(raw: DataFrame, date_col: str | None = None,
                         / F.greatest(F.count(F.lit(1)), F.lit(1))).alias(f"s{i}")
                        for i, c in enumerate(others)]).first() if others else ()
     order = F.col(row_key) if row_key else F.monotonically_increasing_id()
-    day = F.to_date(parse_text_date(F.regexp_replace(q[date_col], r"\.0$", ""), False))
+    day = F.to_date(parse_text_date(F.regexp_replace(q[date_col], r"\.0$", ""), False,
+                                    ("iso", "short", "other"), False))
     names = {c: f"factor_{c}" if c.lower() in RESERVED else c for c in others}
     cells = raw.select(
         day.alias("date"), order.alias("row_order"),

@@ -22,7 +22,7 @@ def typed_shop_lines(raw: DataFrame) -> DataFrame:
         return (F.coalesce(F.col(name).cast("string"), F.lit("")) if name in raw.columns
                 else F.lit(""))
 
-    costly = [parse_text_date(text("order_datetime"), day_first=False).alias("order_date"),
+    costly = [parse_text_date(text("order_datetime"), False, ("iso", "short", "other"), False).alias("order_date"),
               czech_money(text("revenue_per_line")).alias("line_value")]
     carried = [
         text("customer_key").alias("customer_id"), text("order_id").alias("order_id"),
