@@ -29,7 +29,7 @@ from ..sources.dispatch import load, load_exports
 from ..sources.factor_table import read_factors
 from ..sources.partner_shop import read_partner_shop
 from ..sources.retail import read_retail
-from .views import lines_events, lines_tpch, table
+from .views import lines_events, lines_tpch, order_lines, table
 
 QUERIES = {}
 
@@ -49,7 +49,7 @@ def features_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def activity_tpch(spark: SparkSession, sf: str) -> DataFrame:
     """Only what scoring needs: no diversity and no country branch."""
-    return feat.customer_activity(lines_tpch(spark, sf))
+    return feat.customer_activity(order_lines(spark, sf))
 
 
 def activity_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,7 +101,7 @@ def rfm_cells(spark, sf):
 
 @query
 def order_rollup(spark, sf):
-    return feat.order_rollup(lines_tpch(spark, sf)).select(
+    return feat.order_rollup(order_lines(spark, sf)).select(
         "order_id", "customer_id", day("order_date").alias("order_day"),
         amount(F.col("value_units")).alias("order_value"),
         amount(F.col("item_units")).alias("order_items"))
@@ -240,14 +240,14 @@ def shop_report(spark, sf):
 @query
 def parse_numbers_eu(spark, sf):
     text = F.concat(F.lit("€ "), _grouped_text(F.col("line_value"), ".", ","))
-    return lines_tpch(spark, sf, returns=True).select(
+    return order_lines(spark, sf, returns=True).select(
         "order_id", "line_number", locale_number(text, ",").alias("value"))
 
 
 @query
 def parse_numbers_us(spark, sf):
     text = F.concat(F.lit("$"), _grouped_text(F.col("line_value"), ",", "."))
-    return lines_tpch(spark, sf, returns=True).select(
+    return order_lines(spark, sf, returns=True).select(
         "order_id", "line_number", locale_number(text, ".").alias("value"))
 
 
@@ -294,7 +294,7 @@ def parse_dates(spark, sf):
 
 @query
 def order_id_synthesis(spark, sf):
-    return (lines_tpch(spark, sf)
+    return (order_lines(spark, sf)
             .select(synthetic_order_id(F.col("customer_id"), F.col("order_date"))
                     .alias("order_id"), "line_value")
             .groupBy("order_id").agg(F.count(F.lit(1)).alias("rows")))
@@ -303,7 +303,7 @@ def order_id_synthesis(spark, sf):
 @query
 def derive_prices(spark, sf):
     """Price from the total; every seventh line has no quantity to divide by."""
-    lines = lines_tpch(spark, sf, returns=True)
+    lines = order_lines(spark, sf, returns=True)
     quantity = F.when(F.col("line_number") == 7, 0.0).otherwise(F.col("quantity"))
     return lines.select("order_id", "line_number",
                         derived_price(F.col("line_value"), quantity).alias("unit_price"))
@@ -382,7 +382,7 @@ def nested_orders(spark, sf):
 @query
 def number_evidence(spark, sf):
     """Number format, currency and language of four renderings of the line values."""
-    lines = lines_tpch(spark, sf, returns=True)
+    lines = order_lines(spark, sf, returns=True)
     value = F.col("line_value")
     cells = F.array(
         F.struct(F.lit("eu").alias("table"),
@@ -459,7 +459,7 @@ def quality_warnings(spark, sf):
 
 @query
 def daily_sales(spark, sf):
-    return calendar.daily_sales(lines_tpch(spark, sf)).withColumn("date", day("date"))
+    return calendar.daily_sales(order_lines(spark, sf)).withColumn("date", day("date"))
 
 
 @query
@@ -469,12 +469,12 @@ def daily_sales_events(spark, sf):
 
 @query
 def monthly_curve(spark, sf):
-    return calendar.monthly_curve(lines_tpch(spark, sf))
+    return calendar.monthly_curve(order_lines(spark, sf))
 
 
 @query
 def seasonality(spark, sf):
-    return calendar.seasonality_index(lines_tpch(spark, sf))
+    return calendar.seasonality_index(order_lines(spark, sf))
 
 
 @query
@@ -484,7 +484,7 @@ def seasonality_events(spark, sf):
 
 @query
 def peak_month(spark, sf):
-    return calendar.peak_and_low(calendar.seasonality_index(lines_tpch(spark, sf)))
+    return calendar.peak_and_low(calendar.seasonality_index(order_lines(spark, sf)))
 
 
 # --- factors --------------------------------------------------------------------------------
@@ -666,7 +666,7 @@ def kmeans(spark, sf):
 def segment_migration(spark, sf):
     """Segments of all orders against those known before 2000, through the history table."""
     path = stage_path(spark, "history")
-    lines = lines_tpch(spark, sf)
+    lines = order_lines(spark, sf)
 
     def segments(part):
         return seg.score_customers(feat.customer_activity(part))

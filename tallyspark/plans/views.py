@@ -24,32 +24,51 @@ def order_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lines_tpch(spark: SparkSession, folder: str, returns: bool = False) -> DataFrame:
-    """Line items as order lines; returned lines are left out unless asked for."""
-    items = table(spark, folder, "lineitem")
-    if not returns:
-        items = items.where(F.col("l_returnflag") != "R")
-    return (items
+    """Line items as order lines with product, customer and country; returned lines are
+    left out unless asked for."""
+    return (_items(spark, folder, returns)
             .join(order_facts(spark, folder), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
             .select(
-                F.col("o_custkey").cast("string").alias("customer_id"),
-                F.col("l_orderkey").cast("string").alias("order_id"),
-                "order_date",
-                F.col("l_quantity").alias("quantity"),
-                (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
-                (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("line_value"),
+                *_measures(),
                 F.col("p_name").alias("product"),
                 F.col("n_name").alias("country"),
                 F.col("c_name").alias("customer_name"),
                 F.col("p_type").alias("category"),
                 F.col("l_partkey").alias("part_key"),
-                F.col("l_linenumber").alias("line_number"),
                 F.col("l_returnflag").alias("return_flag"),
                 F.col("o_orderstatus").alias("order_status"),
                 F.col("c_mktsegment").alias("market_segment"),
             ))
 
 
+def order_lines(spark: SparkSession, folder: str, returns: bool = False) -> DataFrame:
+    """The same order lines without the descriptive columns: only the join with the orders
+    is left, for everything that needs who, when and how much."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("order_date"))
+    return (_items(spark, folder, returns)
+            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .select(*_measures()))
+
+
+def _items(spark, folder, returns):
+    items = table(spark, folder, "lineitem")
+    return items if returns else items.where(F.col("l_returnflag") != "R")
+
+
+def _measures():
+    return [
+        F.col("o_custkey").cast("string").alias("customer_id"),
+        F.col("l_orderkey").cast("string").alias("order_id"),
+        F.col("order_date"),
+        F.col("l_quantity").alias("quantity"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("line_value"),
+        F.col("l_linenumber").alias("line_number"),
+    ]
+
+
 def lines_events(spark: SparkSession, folder: str) -> DataFrame:
     """Purchases in the event stream as order lines, one order each, with time of day."""
     return (table(spark, folder, "events")
