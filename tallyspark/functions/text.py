@@ -55,18 +55,18 @@ def category_label(cell: Column) -> Column:
 _CODE_LETTERS = "ÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ"
 # A word announcing a voucher code, followed by the code.
 CODE_PHRASE = (
-    r"(?iuU)\s*(?:s\s+)?(?:k(?:ódem|ódu|ód|upónem|upón)|voucher|coupon|(?:use\s+|with\s+)?code)"
+    r"(?iuU)(?=[\skvcuws])\s*(?:s\s+)?(?:k(?:ódem|ódu|ód|upónem|upón)|voucher|coupon|(?:use\s+|with\s+)?code)"
     r"\s*[:\"'„]?\s*[A-Z0-9" + _CODE_LETTERS + r"_-]{3,}[\"'“]?")
 # Fixed value: a capital word of four or more characters holding a digit.
 BARE_CODE = (
-    r"(?U)(?=[A-Z" + _CODE_LETTERS + r"])\b(?=[A-Z0-9" + _CODE_LETTERS + r"-]*\d)[A-Z" + _CODE_LETTERS + r"]"
-    r"[A-Z0-9" + _CODE_LETTERS + r"-]{3,}\b")
+    r"(?=[A-Z" + _CODE_LETTERS + r"])(?<![\p{L}\p{N}_])(?=[A-Z0-9" + _CODE_LETTERS
+    + r"-]*\p{Nd})[A-Z" + _CODE_LETTERS + r"][A-Z0-9" + _CODE_LETTERS + r"-]{3,}(?U:\b)")
 # Fixed value: a concrete discount: a percentage, or an amount with its currency.
 CONCRETE_DISCOUNT = (
-    r"(?iuU)\d+\s*%"
+    r"(?iuU)(?=[\d€$£kce])(?:\d+\s*%"
     r"|(?:kč|czk|eur|€|\$|£)\s*\d+"
     r"|\d+\s*(?:kč|czk|eur)\b"
-    r"|\d+\s*[€$£]")
+    r"|\d+\s*[€$£])")
 
 _PLACEHOLDER = "\ue000"
 
