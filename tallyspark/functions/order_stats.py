@@ -42,9 +42,26 @@ def find_ranks(df: DataFrame, wanted: list[Wanted]) -> list[Found]:
     """Locate every wanted rank among the non-null values; columns must be numeric."""
     columns = list(dict.fromkeys(w.column for w in wanted))
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    slack = 2.0 / ACCURACY
+    found: dict[Wanted, Found] = {}
+    open_, slack = list(wanted), 2.0 / ACCURACY
+    while open_:
+        size, bracket = _brackets(values, open_, slack)
+        for w in open_:
+            if not size[w.column]:
+                found[w] = Found(None, 0, 0, 0)
+        sought = [w for w in open_ if size[w.column]]
+        if sought:
+            _settle(values, sought, size, bracket, found)
+        # Whatever its bracket did not hold is looked for again in a wider one.
+        open_, slack = [w for w in sought if w not in found], slack * 10
+    return [found[w] for w in wanted]
+
+
+def _brackets(values, wanted, slack):
+    """Rows per column, and for every wanted rank two values that should enclose it."""
+    columns = list(dict.fromkeys(w.column for w in wanted))
     asked = {c: [w for w in wanted if w.column == c] for c in columns}
-    first = values.agg(*[
+    row = values.agg(*[
         agg for i, c in enumerate(columns) for agg in (
             F.count(c).alias(f"n{i}"),
             F.percentile_approx(
@@ -53,39 +70,35 @@ def find_ranks(df: DataFrame, wanted: list[Wanted]) -> list[Found]:
                  for edge in (max(0.0, w.fraction - slack), min(1.0, w.fraction + slack))],
                 ACCURACY).alias(f"edges{i}"))
     ]).first()
-    size = {c: first[f"n{i}"] for i, c in enumerate(columns)}
+    size = {c: row[f"n{i}"] for i, c in enumerate(columns)}
     bracket = {}
     for i, c in enumerate(columns):
         for j, w in enumerate(asked[c]):
-            if size[c]:
-                bracket[w] = (first[f"edges{i}"][2 * j], first[f"edges{i}"][2 * j + 1])
-
-    found = {w: Found(None, 0, 0, 0) for w in wanted if not size[w.column]}
-    open_ = [w for w in wanted if w not in found]
-    while open_:
-        counts = values.agg(*[
-            agg for t, w in enumerate(open_) for agg in (
-                F.count_if(F.col(w.column) < bracket[w][0]).alias(f"below{t}"),
-                F.count_if(F.col(w.column) == bracket[w][0]).alias(f"at{t}"),
-                F.count_if(F.col(w.column) <= bracket[w][1]).alias(f"upto{t}"))
-        ]).first()
-        ranked, missed = [], []
-        for t, w in enumerate(open_):
-            k = w.rank(size[w.column])
-            below, at, upto = counts[f"below{t}"], counts[f"at{t}"], counts[f"upto{t}"]
-            if not below < k <= upto:
-                # The sketch was off: open the side that failed and look again.
-                lo, hi = bracket[w]
-                bracket[w] = (_LOWEST if k <= below else lo, _HIGHEST if k > upto else hi)
-                missed.append(w)
-            elif k <= below + at:
-                found[w] = Found(bracket[w][0], below, at, size[w.column])
-            else:
-                ranked.append((w, k, below))
-        if ranked:
-            found.update(_rank_inside(values, ranked, bracket, size))
-        open_ = missed
-    return [found[w] for w in wanted]
+            if slack >= 1:
+                bracket[w] = (_LOWEST, _HIGHEST)
+            elif size[c]:
+                bracket[w] = (row[f"edges{i}"][2 * j], row[f"edges{i}"][2 * j + 1])
+    return size, bracket
+
+
+def _settle(values, sought, size, bracket, found):
+    """Count around the brackets; record every rank that provably lies in its own."""
+    counts = values.agg(*[
+        agg for t, w in enumerate(sought) for agg in (
+            F.count_if(F.col(w.column) < bracket[w][0]).alias(f"below{t}"),
+            F.count_if(F.col(w.column) == bracket[w][0]).alias(f"at{t}"),
+            F.count_if(F.col(w.column) <= bracket[w][1]).alias(f"upto{t}"))
+    ]).first()
+    ranked = []
+    for t, w in enumerate(sought):
+        k = w.rank(size[w.column])
+        below, at, upto = counts[f"below{t}"], counts[f"at{t}"], counts[f"upto{t}"]
+        if below < k <= below + at:
+            found[w] = Found(bracket[w][0], below, at, size[w.column])
+        elif below < k <= upto:
+            ranked.append((w, k, below))
+    if ranked:
+        found.update(_rank_inside(values, ranked, bracket, size))
 
 
 def _rank_inside(values, ranked, bracket, size):

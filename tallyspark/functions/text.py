@@ -55,7 +55,7 @@ def category_label(cell: Column) -> Column:
 _CODE_LETTERS = "ÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ"
 # A word announcing a voucher code, followed by the code.
 CODE_PHRASE = (
-    r"(?iuU)(?=[\skvcuws])\s*(?:s\s+)?(?:k(?:ódem|ódu|ód|upónem|upón)|voucher|coupon|(?:use\s+|with\s+)?code)"
+    r"(?iuU)(?=[\skvcuws])\s*(?:s\s+)?(?:kódem|kódu|kód|kupónem|kupón|voucher|coupon|(?:use\s+|with\s+)?code)"
     r"\s*[:\"'„]?\s*[A-Z0-9" + _CODE_LETTERS + r"_-]{3,}[\"'“]?")
 # Fixed value: a capital word of four or more characters holding a digit.
 BARE_CODE = (
