@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import stage, stage_path
 
-from . import arc_convert, decontaminate, line_frequency, packing, token_rollup, url_lists
+from . import arc_convert, decontaminate, html_blocks, line_frequency, packing, pseudonyms
+from . import size_aware_join, token_rollup, url_lists
 from .common import table
 
 
@@ -17,6 +18,25 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: For the queries only: whoever runs the operator on real documents passes a secret key.
+QUERY_KEY = b"key of the registered queries"
+
+
+def op1_block_lstm(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_blocks.extract(table(spark, folder, "pages"))
+
+
+def op2_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with pseudonyms in place of personal data."""
+    return pseudonyms.pseudonymise(table(spark, folder, "documents"), QUERY_KEY)
+
+
+def op3_size_aware_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets overlap by 90 %."""
+    return size_aware_join.join_classes(table(spark, folder, "documents"))
+
+
 def op4_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as a legacy archive record, converted, written and read back."""
     pages = table(spark, folder, "pages").withColumn(
@@ -90,5 +110,5 @@ def op10_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_arc_to_warc, op5_best_two_fit, op6_line_frequency, op7_temporal_lists,
+    op1_block_lstm, op2_feistel_pseudonyms, op3_size_aware_join, op4_arc_to_warc, op5_best_two_fit, op6_line_frequency, op7_temporal_lists,
     op8_cgk_decontamination, op10_token_rollup)}
