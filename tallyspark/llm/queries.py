@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import stage, stage_path
 
-from . import arc_convert, decontaminate, html_blocks, line_frequency, packing, pseudonyms
-from . import size_aware_join, token_rollup, url_lists
+from . import arc_convert, bwt_repeats, decontaminate, html_blocks, line_frequency, packing
+from . import pseudonyms, size_aware_join, token_rollup, url_lists
 from .common import table
 
 
@@ -87,6 +87,11 @@ def op8_cgk_decontamination(spark: SparkSession, folder: str) -> DataFrame:
                                       table(spark, folder, "benchmark"))
 
 
+def op9_bwt_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the bytes under 50-byte strings of an earlier document."""
+    return bwt_repeats.digests(bwt_repeats.remove_repeats(table(spark, folder, "documents")))
+
+
 def op10_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Totals after: all documents in, copies out, the rest counted by another tokenizer, and
     two of these batches sent again."""
@@ -111,4 +116,4 @@ def op10_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_block_lstm, op2_feistel_pseudonyms, op3_size_aware_join, op4_arc_to_warc, op5_best_two_fit, op6_line_frequency, op7_temporal_lists,
-    op8_cgk_decontamination, op10_token_rollup)}
+    op8_cgk_decontamination, op9_bwt_repeats, op10_token_rollup)}
