@@ -27,27 +27,18 @@ from __future__ import annotations
 from itertools import pairwise
 
 import numpy as np
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.session import stage
 
-from .common import GOLDEN, MIX1, column, map_batches, mix
+from .common import GOLDEN, MIX1, column, map_batches, mix, squeeze, unsqueeze
 
 LENGTH, GRAM = 50, 8
 #: Bytes of a chunk, and of input for each bucket of minimizers and of segments.
 CHUNK, PER_MINIMIZER_BUCKET, PER_SEGMENT_BUCKET = 2_000_000, 1 << 25, 1 << 23
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
-
-
-def unsqueeze(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
 def _to_chunks(ids: list, texts: list):
     order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0))
     out: tuple[list, ...] = ([], [], [], [])

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,14 @@ def map_batches(df: DataFrame, work: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A well-spread 64-bit value for each 64-bit value, one to one."""
     x = (x ^ (x >> np.uint64(30))) * MIX1
@@ -68,13 +77,62 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"):ord("Z") + 1] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
+_BYTES[_BLANK] = 0
+
+
+def hash_words(texts: list[bytes | None], block: int = 1 << 19) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of its words, A-Z in lower case.
+
+    All words of a block of texts are hashed together, byte by byte, without a Python object
+    for any of them: the sum of a random number per byte times a power of its place.
+    """
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        some, size = [], 0
+        while at < len(texts) and (not some or size < block):
+            some.append(texts[at] or b"")
+            size += len(some[-1]) + 1
+            at += 1
+        raw = _LOWER[np.frombuffer(b" ".join([*some, b""]), np.uint8)]
+        blank = _BLANK[raw]
+        first = ~blank
+        first[1:] &= blank[:-1]
+        starts = np.flatnonzero(first)
+        offsets = np.cumsum([0, *[len(t) + 1 for t in some]])
+        if not len(starts):
+            out += [np.empty(0, np.uint64)] * len(some)
+            continue
+        place = np.arange(len(raw)) - starts[np.maximum(np.cumsum(first) - 1, 0)]
+        place[blank] = 0
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(int(place.max()) + 1, GOLDEN, np.uint64))
+            hashes = mix(np.add.reduceat(_BYTES[raw] * powers[place], starts))
+        ends = np.searchsorted(starts, offsets)
+        out += [hashes[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return out
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    if len(values) < 2:
+        return values
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])]
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Runs of bytes other than the six ASCII blanks."""
     return text.split() if text else []
 
 
-def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``size`` words; of all words where there are fewer."""
+def runs_of(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words in order; of all words where there are fewer."""
     if not len(words):
         return np.empty(0, np.uint64)
     size = min(size, len(words))
@@ -83,4 +141,4 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
         total = np.full(n, size, np.uint64)
         for k in range(size):
             total = mix(total * GOLDEN + words[k:k + n])
-    return np.unique(total)
+    return total

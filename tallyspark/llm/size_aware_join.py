@@ -9,16 +9,18 @@ share at least c(s, t) = ceil(percent * (s + t) / (100 + percent)) shingles.
 * Heavy sets scan inverted lists. A set can only reach c with a partner that also has one of
   its first s - ceil(percent * s / 100) + 1 shingles in any fixed order of all shingles, so only
   these lists are scanned, in light sets too that are large enough for a heavy partner. The
-  order puts the shingles that are met most often last (a bounded list of them, counted
-  over all documents), so a passage in a third of all documents makes no lists to scan.
+  order begins with shingles that have an uncommon word and ends with those met in most
+  documents (two bounded tables, counted over all documents), so neither common words nor
+  a passage in a third of all documents make lists to scan. Any order gives the same links.
 * The boundary is the one with the least cost over the sizes found.
 
 A list with many sets is never paired out. In each round a few leaders of a list are compared
 with its other sets, links merge classes, and the list is done when its remaining sets are
 one class. A group of near copies ends after one round; only sets that share rare shingles
-and yet do not link need more, with four times as many leaders in each.
+and yet do not link need more, with sixteen times as many leaders in each.
 
-Every candidate is checked on the whole texts before it counts as a link.
+A candidate that its first shingles do not rule out is checked on the whole texts before it
+counts as a link.
 
 Defined results: null and empty texts and texts without words have an empty set and link with
 nothing; a null id keeps its count and gets no component; rows with one id are one
@@ -32,27 +34,32 @@ from math import comb
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.session import stage
 
-from .common import WordHashes, column, map_batches, shingle_hashes, words_of
+from .common import column, distinct, hash_words, map_batches, runs_of, squeeze, unsqueeze
 from .components import components
 
 #: Largest size for which subsets are considered, and the cost of a posting in subset keys
 #: (a posting is shuffled twice and its candidates are read in full).
 MAX_LIGHT, POSTING_COST = 40, 6
-#: Shingles in at least this many documents may be put last, this many of them at most.
-OFTEN, MOST_OFTEN = 64, 1 << 16
+#: Shingles in at least this many documents may be put last; the tables of common words and
+#: of such shingles have this many entries at most.
+OFTEN, TABLE = 64, 1 << 16
 
-#: The words met so far; a Python worker keeps them from task to task.
-WORDS = WordHashes()
+def shingles(texts: list[bytes | None], size: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text, A-Z in lower case."""
+    return [distinct(runs_of(w, size)) for w in hash_words(texts)]
 
 
-def shingles(text: bytes | None, size: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text, A-Z in lower case."""
-    return shingle_hashes(WORDS.of(words_of(text.lower() if text else None)), size)
+def within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(table, values)
+    return table[np.minimum(at, len(table) - 1)] == values
 
 
 def needed(s: int, t: int, percent: int) -> int:
@@ -81,35 +88,62 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
     return min(range(MAX_LIGHT + 1), key=cost)
 
 
-def often_met(base: DataFrame, size: int) -> np.ndarray:
-    """The shingles met in most documents, sorted; counted over all of them, in blocks."""
-    def count(texts):
-        found, n = np.unique(np.concatenate([shingles(t, size) for t in texts]),
-                             return_counts=True)
-        some = n >= 4
-        yield [found[some].view(np.int64), n[some]]
-
-    rows = (map_batches(base.select("body"), count, "shingle long, n long")
-            .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-            .orderBy(F.desc("n"), "shingle").limit(MOST_OFTEN))
-    return np.sort(np.array([r["shingle"] for r in rows.collect()], np.int64).view(np.uint64))
+def common_tables(base: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the commonest words and of the shingles met in most documents, sorted.
 
-
-def _heads(often: np.ndarray, size: int, percent: int):
+    Counted over all documents, block by block; what is rare in a block is not sent.
+    """
+    def count(texts):
+        words = hash_words(texts)
+        for kind, parts in ((0, words), (1, [distinct(runs_of(w, size)) for w in words])):
+            found, n = np.unique(np.concatenate(parts), return_counts=True)
+            some = n >= 4
+            yield [[kind] * int(some.sum()), found[some].view(np.int64), n[some]]
+
+    rows = stage(map_batches(base.select("body"), count, "kind int, hash long, n long")
+                 .groupBy("kind", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN),
+                 "common")
+    return tuple(np.sort(np.array(
+        [r["hash"] for r in rows.where(F.col("kind") == kind).orderBy(F.desc("n"), "hash")
+         .limit(TABLE).collect()], np.int64).view(np.uint64)) for kind in (0, 1))
+
+
+def ordered(words: np.ndarray, runs: np.ndarray, size: int, common: np.ndarray,
+            often: np.ndarray) -> np.ndarray:
+    """The shingles as keys in the common order: two bits of rank, then the hash."""
+    plain = within(words, common)
+    n, span = len(runs), min(size, len(words))
+    rank = np.ones(n, np.uint64)
+    for k in range(span):
+        rank[~plain[k:k + n]] = 0
+    rank[within(runs, often)] = 2
+    return distinct(runs >> np.uint64(2) | rank << np.uint64(62))
+
+
+def bitmap(keys: np.ndarray) -> list[int]:
+    """256 bits, as four numbers; bit k stands for keys that are k modulo 256."""
+    bits = np.zeros(256, np.uint8)
+    bits[(keys & np.uint64(255)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def _heads(common: np.ndarray, often: np.ndarray, size: int, percent: int):
     def work(ids, texts):
         rows = []
-        for doc, text in zip(ids, texts, strict=True):
-            found = shingles(text, size)
+        for doc, words in zip(ids, hash_words(texts), strict=True):
+            runs = runs_of(words, size)
+            found = distinct(runs)
             n = len(found)
-            key = xxhash.xxh3_128_digest(found.tobytes()) if n else None
-            first = found
-            if n:
-                at = np.searchsorted(often, found)
-                hot = (often[np.minimum(at, len(often) - 1)] == found if len(often)
-                       else np.zeros(n, bool))
-                first = np.concatenate([found[~hot], found[hot]])[:prefix(n, percent)]
-            rows.append((doc, n, key, first.view(np.int64).tolist(),
-                         found.view(np.int64).tolist() if n <= MAX_LIGHT else None))
+            if not n:
+                rows.append((doc, 0, None, [], None, None, []))
+                continue
+            # Two shingles that share a key only make one more candidate.
+            first = ordered(words, runs, size, common, often)[:prefix(n, percent)]
+            # The sign bit is turned so that signed numbers have the order of the keys.
+            last = int((first[-1:] ^ np.uint64(1 << 63)).view(np.int64)[0])
+            rows.append((doc, n, xxhash.xxh3_128_digest(found.tobytes()),
+                         first.view(np.int64).tolist(), last, bitmap(first),
+                         found.view(np.int64).tolist() if n <= MAX_LIGHT else []))
         yield [list(x) for x in zip(*rows, strict=True)]
     return work
 
@@ -143,21 +177,32 @@ def light_pairs(light: DataFrame, percent: int) -> DataFrame:
     return keys.join(found, "key").select(F.col("rep").alias("a"), other.alias("b"))
 
 
-def _linked(size: int, percent: int):
-    held: dict[int, tuple[bytes, np.ndarray]] = {}
+def may_link(percent: int) -> Column:
+    """Whether two sets of a list, (n, p, last, bits) and (n2, p2, last2, bits2), can link.
+
+    ``p`` first shingles of each are known by their bits. A shared shingle up to the nearer of
+    the two last ones is among both first parts; the set that ends there has n - p others.
+    """
+    def missed(own: str, other: str) -> Column:
+        return sum((F.bit_count(F.col(own)[k].bitwiseAND(F.bitwise_not(F.col(other)[k])))
+                    for k in range(4)), F.lit(0))
 
-    def of(doc: int, text: bytes) -> np.ndarray:
-        if doc not in held or held[doc][0] is not text and held[doc][0] != text:
-            if len(held) > 200:
-                held.clear()
-            held[doc] = (text, shingles(text, size))
-        return held[doc][1]
+    shared = F.least(F.col("p") - missed("bits", "bits2"), F.col("p2") - missed("bits2", "bits"))
+    rest = F.when(F.col("last") <= F.col("last2"), F.col("n") - F.col("p")).otherwise(
+        F.col("n2") - F.col("p2"))
+    return ((F.greatest("n", "n2") * percent <= F.least("n", "n2") * 100)
+            & ((shared + rest) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent))
 
+
+def _linked(size: int, percent: int):
     def work(lefts, rights, left_texts, right_texts):
         kept: tuple[list, list] = ([], [])
+        # A leader's text stands beside many others: each text of the batch is read once.
+        texts = list(dict.fromkeys([*left_texts, *right_texts]))
+        sets = dict(zip(texts, shingles([unsqueeze(t) for t in texts], size), strict=True))
         for a, b, x, y in zip(lefts, rights, left_texts, right_texts, strict=True):
-            p, q = of(a, x), of(b, y)
-            both = len(np.intersect1d(p, q, assume_unique=True))
+            p, q = sets[x], sets[y]
+            both = int(np.count_nonzero(within(p, q)))
             if 100 * both >= percent * (len(p) + len(q) - both):
                 kept[0].append(a)
                 kept[1].append(b)
@@ -183,10 +228,11 @@ def join_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     """Per row: doc_id, n_shingles and component_id, the least id reachable by links."""
     base = docs.select(column(docs, id, "long").alias("doc_id"),
                        column(docs, text, "binary").alias("body"))
-    often = often_met(base, size)
+    common, often = common_tables(base, size)
     heads = stage(map_batches(
-        base, _heads(often, size, percent),
-        "doc_id long, n long, key binary, first array<long>, all array<long>"), "heads")
+        base, _heads(common, often, size, percent),
+        "doc_id long, n long, key binary, first array<long>, last long, bits array<long>, "
+        "all array<long>"), "heads")
     sets = heads.where("n > 0 and doc_id is not null")
     classes = stage(sets.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     chosen = sets.join(classes, "key").where("doc_id = rep")
@@ -196,18 +242,20 @@ def join_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     x = boundary({r["n"]: r["count"] for r in rows}, percent)
     lowest = -(-percent * (x + 1) // 100)
     postings = chosen.where(F.col("n") >= lowest).select(
-        F.explode("first").alias("shingle"), "rep", "n")
+        F.explode("first").alias("shingle"), "rep", F.col("n").cast("int").alias("n"),
+        F.size("first").alias("p"), "last", "bits")
     shared = postings.groupBy("shingle").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     lists = stage(postings.join(shared.where("lo < hi").select("shingle"), "shingle")
-                  .select("shingle", "rep", F.col("n").cast("int").alias("n"),
-                          F.col("rep").alias("root")), "lists")
+                  .withColumn("root", F.col("rep")), "lists")
 
     pairs = distinct_pairs(light_pairs(chosen.where(F.col("n") <= x), percent))
     pairs = stage(pairs, "pairs")
     wanted = lists.select("rep").unionByName(pairs.select(F.col("a").alias("rep"))).unionByName(
         pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = stage(base.join(wanted, base["doc_id"] == wanted["rep"]).select("rep", "body"),
-                  "texts")
+    texts = stage(map_batches(
+        base.join(wanted, base["doc_id"] == wanted["rep"]).select("rep", "body"),
+        lambda reps, bodies: iter([(reps, [squeeze(b or b"") for b in bodies])]),
+        "rep long, body binary"), "texts")
     checked, leaders = pairs, 1
     links = stage(check_pairs(pairs, texts, size, percent), "links")
     roots = components(links)
@@ -215,27 +263,27 @@ def join_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
         # Lists whose sets are not yet one class, each with its leaders: the least set of each
         # slice. All their pairs are tried in this round, so leaders leave the list after it.
         named = lists.drop("root").join(
-            roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "shingle", "rep", "n", F.coalesce("root", "rep").alias("root"))
+            roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+            "root", F.coalesce("root", "rep"))
         state = named.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
         lists = stage(named.join(state.where("lo < hi").select("shingle"), "shingle"), "lists")
         if lists.isEmpty():
             break
         sliced = lists.withColumn("slice", F.pmod(F.xxhash64("rep", "shingle"), F.lit(leaders)))
-        lead = sliced.groupBy("shingle", "slice").agg(F.min(F.struct("rep", "n", "root")).alias("l"))
-        lead = lead.select("shingle", "l.*").select(
-            "shingle", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
-        tried = lists.join(lead, "shingle").where(
-            (F.col("root") != F.col("r"))
-            & (F.greatest("n", "m") * percent <= F.least("n", "m") * 100))
-        new = distinct_pairs(tried.select(F.col("rep").alias("a"), "b"))
+        lead = sliced.groupBy("shingle", "slice").agg(F.min("rep").alias("rep")).drop("slice")
+        second = lists.join(lead, ["shingle", "rep"]).select(
+            "shingle", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "p", "last", "bits", "root")))
+        tried = lists.join(second, "shingle").where(
+            (F.col("root") != F.col("root2")) & may_link(percent))
+        new = distinct_pairs(tried.select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
         new = stage(new.join(checked, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(stage(check_pairs(new, texts, size, percent), "links"))
+        found = stage(check_pairs(new, texts, size, percent), "links")
         checked = checked.unionByName(new)
-        roots = components(links)
-        lists = lists.join(lead.select("shingle", F.col("b").alias("rep")),
-                           ["shingle", "rep"], "left_anti")
-        leaders *= 4
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = components(links)
+        lists = lists.join(lead, ["shingle", "rep"], "left_anti")
+        leaders *= 16
     # Set -> class -> component; a hot class is many rows of a join.
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", F.coalesce("root", "rep").alias("component_id"))
