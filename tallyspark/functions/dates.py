@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from .numbers import is_plain_number, plain_number
 from .order_stats import median
+from .text import strip
 
 _NUMERIC_DATE = r"^\s*(\d{1,2})([./-])(\d{1,2})[./-]"
 _EPOCH_LIMIT = 9_223_372_036      # seconds; beyond it a nanosecond timestamp does not exist
@@ -53,7 +54,7 @@ def shape_of(text: Column) -> Column:
 
 def day_first_evidence(cell: Column) -> dict[str, Column]:
     """Aggregates that decide between day/month and month/day."""
-    short = F.when(_starts_short(F.trim(cell)), cell)
+    short = F.when(_starts_short(strip(cell)), cell)
     first = F.regexp_extract(short, _NUMERIC_DATE, 1)
     second = F.regexp_extract(short, _NUMERIC_DATE, 3)
     no = F.lit(False)
@@ -91,7 +92,7 @@ def date_profile(df: DataFrame, column: str) -> DataFrame:
     when the column is mostly numeric.
     """
     cell = F.col(column).cast("string")
-    text = F.trim(cell)
+    text = strip(cell)
     shape = shape_of(text)
     evidence = df.select(cell.alias("cell"), text.alias("text"), shape.alias("shape")).agg(
         (F.count_if(is_plain_number(F.col("cell")))
@@ -154,7 +155,7 @@ def parse_text_date(cell: Column, day_first: bool, shapes: tuple[str, ...] = SHA
     70 are of this century. Only the branches for ``shapes`` become part of the plan, so a
     profiled column costs what its own spelling needs.
     """
-    text = F.trim(cell)
+    text = strip(cell)
     marked = _ends_like_half_day(text)
     clock = (F.when(marked, F.regexp_replace(text, _HALF_DAY, "")).otherwise(text)
              if half_day else text)
@@ -192,7 +193,7 @@ def parse_text_date(cell: Column, day_first: bool, shapes: tuple[str, ...] = SHA
     for shape in shapes:
         fits, rewrite = branches[shape]
         iso = iso.when(fits, rewrite())
-    stamp = F.trim(iso).try_cast("timestamp_ntz")
+    stamp = strip(iso).try_cast("timestamp_ntz")
     if not half_day:
         return stamp
     half = F.when(marked, F.lower(F.regexp_extract(text, _HALF_DAY, 1)))

@@ -13,6 +13,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCALE = 10_000.0
+#: The largest amount of one line; what is beyond, infinite or no number gets a drop reason.
+LARGEST = 1e12
+
+
+def fits(value: Column) -> Column:
+    """Whether an amount can be added; true for a missing one."""
+    return F.coalesce(F.abs(value) <= F.lit(LARGEST), F.lit(True))
 
 
 def units(value: Column) -> Column:

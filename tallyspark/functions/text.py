@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+
+#: Every character that counts as white space.
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+          + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000")
+
+
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 # Words that never name a category.
 STOP_WORDS = ["a", "an", "the", "and", "or", "for", "of", "in", "with", "to",
               "na", "pro", "ke", "ve", "ze", "se", "do", "od", "po"]
@@ -81,13 +93,14 @@ def strip_voucher_codes(text: Column, keep: str | None = None) -> Column:
 
 
 def promises_discount(*texts: Column) -> Column:
-    """True when any of the texts names a concrete discount."""
-    return F.concat_ws("\n", *texts).rlike(CONCRETE_DISCOUNT)
+    """True when one of the texts names a concrete discount; each is searched by itself."""
+    return F.coalesce(F.greatest(*[F.coalesce(t.rlike(CONCRETE_DISCOUNT), F.lit(False))
+                                   for t in texts], F.lit(False)), F.lit(False))
 
 
 def one_line(text: Column) -> Column:
     """Recipient field without line breaks and outer blanks."""
-    return F.trim(F.translate(F.coalesce(text, F.lit("")), "\r\n", "  "))
+    return strip(F.translate(F.coalesce(text, F.lit("")), "\r\n", "  "))
 
 
 # Fixed value: what counts as an e-mail address.
@@ -104,7 +117,7 @@ CURRENCY_SYMBOLS = {"CZK": "Kč", "EUR": "€", "USD": "$", "GBP": "£"}
 
 def currency_symbol(code: Column) -> Column:
     """ISO code -> symbol; anything else is kept, trimmed."""
-    bare = F.trim(code)
+    bare = strip(code)
     rule = F.when(F.lit(False), F.lit(None).cast("string"))
     for iso, symbol in CURRENCY_SYMBOLS.items():
         rule = rule.when(F.upper(bare) == iso, symbol)
@@ -115,7 +128,7 @@ def content_language(symbol: Column, source: Column | None = None) -> Column:
     """'cs' for Czech money or the partner-shop source, else 'en'."""
     czech = symbol == "Kč"
     if source is not None:
-        czech = czech | (source == "eshop")
+        czech = czech | source.isin("eshop", "partner")
     return F.when(czech, "cs").otherwise("en")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import looks_like_email, one_line
+from ..functions.text import looks_like_email, one_line, strip
 
 # Mailing phrases in the two content languages.
 GREETING = {"en": "Hello,", "cs": "Dobrý den,"}
@@ -32,8 +32,8 @@ def contacts(lines: DataFrame) -> DataFrame:
 
     def latest(name):
         cell = F.col(name)
-        return F.max_by(F.when(F.trim(cell) != "", cell),
-                        F.when(F.trim(cell) != "", F.struct(F.col("last"), cell)))
+        return F.max_by(F.when(strip(cell) != "", cell),
+                        F.when(strip(cell) != "", F.struct(F.col("last"), cell)))
 
     own_id = F.when(looks_like_email(F.col("customer_id")), F.col("customer_id"))
     return (used.groupBy("customer_id")

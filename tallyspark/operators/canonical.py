@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..errors import UnusableInput
 from ..functions.dates import DateStyle, detect_style, parse_date
+from ..functions.money import fits
 from ..functions.numbers import number_column
+from ..functions.text import strip
 
 REASON = "drop_reason"
 DEFAULT_MAPPING = {c: c for c in S.CANONICAL + S.CONTACT}
@@ -85,7 +87,7 @@ def canonicalize(raw: DataFrame, mapping: dict[str, str] | None = None, decimal:
     def number(name: str) -> Column:
         return number_column(F.col(name), types[name], decimal)
 
-    customer = F.trim(F.col("customer_id").cast("string"))
+    customer = strip(F.col("customer_id").cast("string"))
     parsed_columns = [
         customer.alias("customer_id"),
         parse_date(F.col("order_date"), style).alias("order_date"),
@@ -115,7 +117,9 @@ def canonicalize(raw: DataFrame, mapping: dict[str, str] | None = None, decimal:
     reason = first_reason(
         (F.col("order_date").isNull(), S.REASON_DATE),
         (missing_customer(F.col("customer_id")), S.REASON_CUSTOMER),
-        (F.col("unit_price").isNull(), S.REASON_PRICE),
+        (F.col("unit_price").isNull() | ~fits(F.col("unit_price"))
+         | ~fits(F.coalesce("given_total", F.col("quantity") * F.col("unit_price"))),
+         S.REASON_PRICE),
         (cancelled, S.REASON_CANCELLED),
         (nonpositive, S.REASON_NONPOSITIVE),
     )
@@ -151,7 +155,7 @@ def canonicalize_shop(lines: DataFrame) -> DataFrame:
     """
     reason = first_reason(
         (missing_shop_customer(F.col("customer_id")) | F.col("order_date").isNull()
-         | F.col("line_value").isNull(), S.REASON_SHOP_MISSING),
+         | F.col("line_value").isNull() | ~fits(F.col("line_value")), S.REASON_SHOP_MISSING),
         (F.coalesce(F.upper("product").rlike("^(BILLING|SHIPPING)"), F.lit(False)),
          S.REASON_SHOP_STRUCTURAL),
         (F.coalesce(F.col("status").isin(UNREALISED_STATUS), F.lit(False)),

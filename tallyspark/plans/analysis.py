@@ -14,7 +14,7 @@ from ..operators.canonical import ingest_report, kept
 from ..session import stage
 from ..sources import sinks
 
-PROSPECTS = 15
+PROSPECTS = 15  # the default of ``analyze``
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def analyze(canonical: DataFrame, currency: str = "£", language: str | None = N
         "campaigns": campaigns.campaign_cards(profile, prospect_stats, lang),
         "product_mix": products.product_mix(enriched, scored, top_categories),
         "validation": silhouette.select(
-            half_even(F.col("silhouette"), 3).alias("kmeans_silhouette"),
+            half_even(F.col("silhouette"), 3).alias("kmeans_silhouette_squared"),
             half_even(F.lit(agreement), 3).alias("rfm_kmeans_ari"),
             F.lit(totals.customers).alias("n_customers")),
         "ingest": report,

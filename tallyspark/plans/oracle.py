@@ -508,7 +508,20 @@ ORACLE.update({
                 sum(n) * (sum(n) - 1) / 2 AS t FROM ct)
         SELECT round_even((ij - sa * sb / t) / ((sa + sb) / 2 - sa * sb / t), 6) AS ari FROM s""",
     "silhouette": f"""WITH {LINES_TPCH}{SCORED}{SCALED},
-        pt AS (SELECT customer_id, segment, {', '.join('z_' + c for c in _MODEL)} FROM scaled),
+        pt AS (SELECT customer_id, segment, {', '.join('z_' + c for c in _MODEL)},
+                 {' + '.join(f'z_{c} ** 2' for c in _MODEL)} AS norm FROM scaled),
+        mid AS (SELECT segment AS other, count(*) AS n, avg(norm) AS square,
+                  {', '.join(f'avg(z_{c}) AS m_{c}' for c in _MODEL)} FROM pt GROUP BY 1),
+        gap AS (SELECT customer_id, segment AS own, other, n, greatest(0,
+                  norm + square - 2 * ({' + '.join(f'z_{c} * m_{c}' for c in _MODEL)})) AS mean FROM pt, mid),
+        ab AS (SELECT customer_id, max(CASE WHEN own = other THEN mean * n / greatest(n - 1, 1) END) AS a,
+                 min(CASE WHEN own <> other THEN mean END) AS b, max(CASE WHEN own = other THEN n END) AS own_n
+               FROM gap GROUP BY 1)
+        SELECT round_even(avg(CASE WHEN own_n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6)
+          AS silhouette FROM ab""",
+    "silhouette_sampled": f"""WITH {LINES_TPCH}{SCORED}{SCALED},
+        pt AS (SELECT customer_id, segment, {', '.join('z_' + c for c in _MODEL)} FROM scaled
+               ORDER BY md5(customer_id), customer_id LIMIT 3000),
         size AS (SELECT segment, count(*) AS n FROM pt GROUP BY 1),
         gap AS (SELECT p.customer_id, p.segment AS own, q.segment AS other,
                    sum(sqrt({' + '.join(f'(p.z_{c} - q.z_{c}) ** 2' for c in _MODEL)})) AS total

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import UnusableInput
+from ..session import stage
 from .dialects import cp1250_from_latin1, dialect_profile
 
 
@@ -18,51 +19,57 @@ class Dialect:
     delimiter: str
     multiline: bool
     columns: tuple[str, ...]
-    preamble: tuple[str, ...]
 
 
-def read_dialect(spark: SparkSession, files: list[str], dialect: Dialect) -> DataFrame:
+def read_dialect(spark: SparkSession, files: list[str], dialect: Dialect,
+                 titles: DataFrame) -> DataFrame:
     """Files of one dialect as one frame of text columns.
 
-    Short rows are padded, long ones cut, blank ones dropped, empty cells are ''. When the
-    header is the first line the reader skips it; title lines above it, and the header
-    then, are dropped from the first block of each file by their text.
+    Short rows are padded, long ones cut, blank ones dropped, empty cells are ''. Title lines
+    and the header, which differ from file to file, are dropped from the first block of each
+    file by their text: ``titles`` has (file, preamble).
     """
     names = list(dialect.columns)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    plain_header = len(dialect.preamble) == 1
     raw = (spark.read.schema(schema)
-           .option("sep", dialect.delimiter).option("header", plain_header)
+           .option("sep", dialect.delimiter).option("header", False)
            .option("enforceSchema", True).option("mode", "PERMISSIVE")
            .option("escape", '"').option("multiLine", dialect.multiline)
            .option("encoding", "UTF-8" if dialect.encoding == "utf-8" else "ISO-8859-1")
            .csv(files))
+    raw = raw.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)],
+                     F.col("_metadata.file_path").alias("file"),
+                     (F.col("_metadata.file_block_start") == 0).alias("first_block"))
+    cells = [F.col(f"c{i}") for i in range(len(names))]
     if dialect.encoding == "cp1250":
-        raw = raw.withColumns({f"{n}": cp1250_from_latin1(F.col(f"`{n}`")) for n in names})
-    cells = [F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names]
-    if not plain_header:
-        titles = [dialect.delimiter.join((line.split(dialect.delimiter)
-                                          + [""] * len(names))[:len(names)])
-                  for line in dialect.preamble]
-        joined = F.regexp_replace(F.concat_ws(dialect.delimiter, *cells), "^﻿", "")
-        raw = raw.where(~((F.col("_metadata.file_block_start") == 0) & joined.isin(titles)))
+        cells = [cp1250_from_latin1(c) for c in cells]
+    cells = [F.coalesce(c, F.lit("")) for c in cells]
+    # A line as the reader gives it back: cut or padded to the columns.
+    padded = titles.select("file", F.transform("preamble", lambda line: F.array_join(F.slice(
+        F.concat(F.split(line, rf"\Q{dialect.delimiter}\E"),
+                 F.array_repeat(F.lit(""), len(names))), 1, len(names)),
+        dialect.delimiter)).alias("titles"))
+    joined = F.regexp_replace(F.concat_ws(dialect.delimiter, *cells), "^\ufeff", "")
     filled = F.concat(*cells).rlike(r"(?U)\S")
-    return raw.where(filled).select(*[c.alias(n) for c, n in zip(cells, names)])
+    title = F.col("first_block") & F.coalesce(F.array_contains("titles", joined), F.lit(False))
+    return (raw.join(padded, "file", "left").where(filled & ~title)
+            .select(*[c.alias(n) for c, n in zip(cells, names)]))
 
 
-def file_groups(spark: SparkSession, path: str) -> list[tuple[Dialect, list[str]]]:
-    """The dialects below ``path`` and their files. Collects one row per file."""
-    rows = dialect_profile(spark, path).where("has_data").collect()
+def read_tables(spark: SparkSession, path: str) -> list[tuple[Dialect, DataFrame]]:
+    """One text table per dialect found below ``path``, however many titles its files have.
+
+    The driver gets one row per dialect, with the paths of its files.
+    """
+    profile = stage(dialect_profile(spark, path), "dialects").where("has_data")
+    groups = profile.groupBy("encoding", "delimiter", "multiline", "columns").agg(
+        F.sort_array(F.collect_list("file")).alias("files"))
+    rows = sorted(groups.collect(), key=lambda r: r.files[0])
     if not rows:
         raise UnusableInput(f"no data rows below {path}")
-    groups: dict[Dialect, list[str]] = {}
+    titles = profile.select("file", "preamble")
+    out = []
     for r in rows:
-        key = Dialect(r.encoding, r.delimiter, r.multiline, tuple(r.columns),
-                      tuple(r.preamble) if len(r.preamble) > 1 else ("",))
-        groups.setdefault(key, []).append(r.file)
-    return sorted(groups.items(), key=lambda g: min(g[1]))
-
-
-def read_tables(spark: SparkSession, path: str) -> list[tuple[Dialect, DataFrame]]:
-    """One text table per dialect found below ``path``."""
-    return [(d, read_dialect(spark, files, d)) for d, files in file_groups(spark, path)]
+        dialect = Dialect(r.encoding, r.delimiter, r.multiline, tuple(r.columns))
+        out.append((dialect, read_dialect(spark, list(r.files), dialect, titles)))
+    return out

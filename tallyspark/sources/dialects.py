@@ -1,21 +1,16 @@
 """How the text exports of a folder are written: one row per file.
 
 All of this reads whole files as splittable lines. Encoding and quoting are decided by one
-aggregation over every line; delimiter and header come from each file's first lines, the
-only part that reaches Python (some fifty lines per file).
+aggregation over every line; delimiter and header come from each file's first lines.
 """
 
 from __future__ import annotations
 
-import csv
-import io
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Delimiters an export may use.
-DELIMITERS = ",;\t|"
+DELIMITERS = ",|;\t"
 HEAD_LINES = 50
 SNIFF_LINES = 20
 HEADER_WITHIN = 30
@@ -76,60 +71,87 @@ def head_lines(spark: SparkSession, path: str) -> DataFrame:
             .select("file", "rank", "raw"))
 
 
-def guess_delimiter(text: str) -> str:
-    head = "\n".join(text.splitlines()[:SNIFF_LINES])
-    try:
-        return csv.Sniffer().sniff(head, delimiters=DELIMITERS).delimiter
-    except csv.Error:
-        best = max(DELIMITERS, key=head.count)
-        return best if head.count(best) else ","
-
-
-def header_position(rows: list[list[str]]) -> int:
-    """First row with two filled cells and as many cells as the row below it."""
-    for at, (row, below) in enumerate(zip(rows, rows[1:])):
-        if at >= HEADER_WITHIN:
-            break
-        if sum(bool(c.strip()) for c in row) >= 2 and len(row) == len(below):
-            return at
-    return 0
-
-
-def repair_header(cells: list[str]) -> list[str]:
-    """Blank names become ``col<i>``; repeated ones get ``_2``, ``_3`` ..."""
-    seen: dict[str, int] = {}
-    names = []
-    for i, cell in enumerate(cells, 1):
-        name = cell.strip().lstrip("﻿") or f"col{i}"
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
-    return names
-
-
-def _describe(head: pd.DataFrame) -> pd.DataFrame:
-    """Delimiter, header position and columns of one file from its first lines."""
-    head = head.sort_values("rank")
-    codec = {"utf-8": "utf-8-sig"}.get(head["encoding"].iloc[0], head["encoding"].iloc[0])
-    text = "\n".join(head["raw"]).encode("latin-1").decode(codec, "replace")
-    delimiter = guess_delimiter(text)
-    rows = [r for r in csv.reader(io.StringIO(text), delimiter=delimiter)
-            if any(c.strip() for c in r)]
-    at = header_position(rows)
-    return pd.DataFrame([{
-        "file": head["file"].iloc[0], "encoding": head["encoding"].iloc[0],
-        "multiline": bool(head["multiline"].iloc[0]), "delimiter": delimiter,
-        "skipped_rows": at, "columns": repair_header(rows[at]),
-        "preamble": [delimiter.join(r) for r in rows[:at + 1]],
-        "has_data": len(rows) > 1}])
-
-
-PROFILE_SCHEMA = ("file string, encoding string, multiline boolean, delimiter string, "
-                  "skipped_rows int, columns array<string>, preamble array<string>, "
-                  "has_data boolean")
+def decoded(raw: Column, encoding: Column) -> Column:
+    """Single-byte text of a line -> what its bytes mean in the file's encoding."""
+    utf8 = F.decode(F.encode(raw, "ISO-8859-1"), "UTF-8")
+    return (F.when(encoding == "utf-8", F.regexp_replace(utf8, "^\ufeff", ""))
+             .when(encoding == "cp1250", cp1250_from_latin1(raw)).otherwise(raw))
+
+
+def _outside_quotes(delimiter: str) -> str:
+    """Pattern of a delimiter with an even number of quotes behind it."""
+    return rf'\Q{delimiter}\E(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def delimiters(heads: DataFrame, sniff_lines: int = SNIFF_LINES) -> DataFrame:
+    """(file, delimiter): the candidate that occurs equally often in most of the first lines.
+
+    Counts are taken outside quotes. Of equally even candidates the one that occurs more often
+    in a line wins, then the one that is rarer inside numbers and prose.
+    """
+    bare = F.regexp_replace("line", r'"[^"]*"', "")
+    counts = F.array(*[F.struct(F.lit(d).alias("delimiter"), F.lit(k).alias("preference"),
+                                (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))))
+                                .alias("times"))
+                       for k, d in enumerate(DELIMITERS)])
+    seen = (heads.where(F.col("rank") <= sniff_lines).select("file", F.explode(counts).alias("c"))
+            .where("c.times > 0").groupBy("file", "c.delimiter", "c.preference", "c.times")
+            .agg(F.count(F.lit(1)).alias("lines")))
+    return seen.groupBy("file").agg(
+        F.max_by("delimiter", F.struct("lines", "times", "preference")).alias("delimiter"))
+
+
+def header_rows(heads: DataFrame, within: int = HEADER_WITHIN) -> DataFrame:
+    """(file, at): the first line with two filled cells that the next line has as many cells as.
+
+    Without such a line the first one serves.
+    """
+    by_line = Window.partitionBy("file").orderBy("rank")
+    filled = F.size(F.filter("cells", lambda c: c.rlike(r"(?U)\S")))
+    sized = heads.select("file", "rank", filled.alias("filled"), F.size("cells").alias("n"),
+                         F.lead(F.size("cells")).over(by_line).alias("below"))
+    fits = (F.col("filled") >= 2) & (F.col("n") == F.col("below")) & (F.col("rank") <= within)
+    return sized.groupBy("file").agg(F.coalesce(F.min(F.when(fits, F.col("rank"))),
+                                                F.lit(1)).alias("at"))
+
+
+def repaired_names(headers: DataFrame) -> DataFrame:
+    """(file, columns) from (file, cells): blank names become ``col<i>``, repeated ones get
+    ``_2``, ``_3`` and so on in their order."""
+    named = headers.select("file", F.posexplode("cells").alias("at", "cell")).select(
+        "file", "at", F.regexp_replace("cell", r"(?U)^[\s\ufeff]+|\s+$", "").alias("bare"))
+    named = named.withColumn("name", F.when(F.col("bare") == "", F.concat(
+        F.lit("col"), F.col("at") + 1)).otherwise(F.col("bare")))
+    turn = F.row_number().over(Window.partitionBy("file", "name").orderBy("at"))
+    named = named.withColumn("turn", turn)
+    name = F.when(F.col("turn") == 1, F.col("name")).otherwise(
+        F.concat("name", F.lit("_"), F.col("turn")))
+    listed = F.array_sort(F.collect_list(F.struct("at", name.alias("name"))))
+    return named.groupBy("file").agg(listed["name"].alias("columns"))
 
 
 def dialect_profile(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file below ``path``: encoding, quoting, delimiter, header row and
-    column names. ``preamble`` holds the title lines and the header as they stand."""
-    heads = head_lines(spark, path).join(file_facts(spark, path), "file")
-    return heads.groupBy("file").applyInPandas(_describe, PROFILE_SCHEMA)
+    column names. ``preamble`` holds the title lines and the header, cells unquoted."""
+    facts = file_facts(spark, path)
+    heads = head_lines(spark, path).join(facts.select("file", "encoding"), "file").select(
+        "file", "rank", decoded(F.col("raw"), F.col("encoding")).alias("line"))
+    heads = heads.join(delimiters(heads), "file", "left").withColumn(
+        "delimiter", F.coalesce("delimiter", F.lit(",")))
+    split = F.when(F.lit(False), F.array(F.col("line")))
+    for d in DELIMITERS:
+        split = split.when(F.col("delimiter") == d, F.split("line", _outside_quotes(d)))
+    cells = F.transform(split, lambda c: F.when(
+        c.rlike(r'^\s*".*"\s*$'),
+        F.replace(F.regexp_replace(c, r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    heads = heads.withColumn("cells", cells)
+    marked = heads.join(header_rows(heads), "file")
+    names = repaired_names(marked.where("rank = at").select("file", "cells"))
+    above = F.array_sort(F.collect_list(F.when(F.col("rank") <= F.col("at"), F.struct(
+        "rank", F.expr("array_join(cells, delimiter)").alias("text")))))
+    rows = marked.groupBy("file").agg(
+        F.first("delimiter").alias("delimiter"), (F.first("at") - 1).cast("int").alias("skipped_rows"),
+        above["text"].alias("preamble"), (F.count(F.lit(1)) > 1).alias("has_data"))
+    return facts.join(rows, "file").join(names, "file").select(
+        "file", "encoding", "multiline", "delimiter", "skipped_rows", "columns", "preamble",
+        "has_data")

@@ -23,8 +23,8 @@ def load_exports(spark: SparkSession, path: str, mapping: dict[str, str] | None
                  decimal: str | None = None) -> DataFrame:
     """A folder of text exports of any dialect -> one canonical frame.
 
-    What the caller leaves open is inferred per dialect from the header names and from all
-    cells. Files are grouped by dialect, so there are as many parts as dialects.
+    What the caller leaves open is inferred per dialect: columns from the header names, the
+    number format from the cells of the columns for quantity and money. Files are grouped by dialect, so there are as many parts as dialects.
     """
     tables = read_tables(spark, path)
     headers = spark.createDataFrame(
@@ -38,7 +38,9 @@ def load_exports(spark: SparkSession, path: str, mapping: dict[str, str] | None
     for i, (dialect, table) in enumerate(tables):
         chosen = {**inferred.get(str(i), {}), **(mapping or {})}
         require_columns([c for c, h in chosen.items() if h in dialect.columns])
-        mark = decimal or (column_evidence(table_cells(table, "t"),
+        numbers = [f"`{chosen[c]}`" for c in ("quantity", "unit_price", "line_value")
+                   if chosen.get(c) in dialect.columns]
+        mark = decimal or (column_evidence(table_cells(table.select(*numbers), "t"),
                                            delimiter=F.lit(dialect.delimiter))
                            .first().decimal)
         parts.append(canonicalize(table, chosen, mark))
@@ -46,13 +48,15 @@ def load_exports(spark: SparkSession, path: str, mapping: dict[str, str] | None
 
 
 def load(spark: SparkSession, kind: str, mapping: dict[str, str] | None = None,
-         decimal: str = ".", **options) -> DataFrame:
+         decimal: str | None = None, **options) -> DataFrame:
     """Canonical frame with ``drop_reason`` from any source.
 
     kind: file (path), sql (url, query, ...), json (path), sample (path), partner (path).
+    Without ``decimal`` files are examined for theirs and other sources use a point.
     """
     if kind == "file":
-        return load_exports(spark, options["path"], mapping, options.get("file_decimal"))
+        return load_exports(spark, options["path"], mapping, decimal)
+    decimal = decimal or "."
     if kind == "sql":
         return canonicalize(read_relational(spark, **options), mapping, decimal)
     if kind == "json":

@@ -52,4 +52,8 @@ def shape_factors(raw: DataFrame, date_col: str | None = None,
 def read_factors(spark: SparkSession, path: str, date_col: str | None = None) -> DataFrame:
     """Comma-separated factor file(s) with a header."""
     raw = spark.read.csv(path, header=True, escape='"', inferSchema=False)
-    return shape_factors(raw, date_col)
+    # Reading order: file by file, block by block, line by line; the id alone follows the
+    # scheduler's packing of blocks.
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start",
+                     F.monotonically_increasing_id())
+    return shape_factors(raw.withColumn("_reading_order", order), date_col, "_reading_order")

@@ -36,10 +36,14 @@ def new_run_id() -> str:
 
 
 def append_snapshot(scored: DataFrame, path: str, run_id: str, date_to: str) -> None:
-    """Add the segments of one run to the history table, as partition ``run_id``."""
+    """Add the segments of one run to the history table, as partition ``run_id``.
+
+    A run that is written again replaces its own partition and touches no other.
+    """
     (scored.select("customer_id", "segment", F.lit(date_to).alias("date_to"),
                    F.lit(run_id).alias("run_id"))
-     .write.mode("append").partitionBy("run_id").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id").parquet(path))
 
 
 def previous_snapshot(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
