@@ -2,7 +2,7 @@
 a document with a smaller id.
 
 Splitting the work. The strings of ``length`` bytes (windows) are dealt out by their minimizer,
-the least hash of the eight-byte grams inside: equal windows have equal minimizers, and a run
+the least hash of the 20-byte grams inside: equal windows have equal minimizers, and a run
 of neighbouring windows has one in common, so a run travels as one short segment. First the
 minimizers alone are exchanged, and only segments whose minimizer occurs in two documents
 travel after that. Documents stand in chunks of a fixed size; a chunk sends a segment only
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import stage
 
-from .common import GOLDEN, MIX1, column, map_batches, mix, squeeze, unsqueeze
+from .common import GOLDEN, MIX1, MIX2, column, map_batches, mix, squeeze, unsqueeze
 
-LENGTH, GRAM = 50, 8
+#: Bytes of a window, of a symbol, of the grams whose least hash is the minimizer, and of a
+#: minimizer when it is exchanged (two that agree in these bytes only send a segment more).
+LENGTH, GRAM, ANCHOR, KEY = 50, 8, 20, 6
 #: Bytes of a chunk, and of input for each bucket of minimizers and of segments.
 CHUNK, PER_MINIMIZER_BUCKET, PER_SEGMENT_BUCKET = 2_000_000, 1 << 25, 1 << 23
 
@@ -86,11 +88,16 @@ class Runs:
             self.start = self.end = self.doc = np.empty(0, np.int64)
             self.key = np.empty(0, np.uint64)
             return
+        symbols, n = grams(raw), len(raw) - ANCHOR + 1
         with np.errstate(over="ignore"):
-            hashes = grams(raw) * GOLDEN
+            hashes = symbols[:n] * GOLDEN
+            for offset, factor in ((GRAM, MIX1), (ANCHOR - GRAM, MIX2)):
+                hashes ^= hashes >> np.uint64(32)
+                hashes += symbols[offset:offset + n]
+                hashes *= factor
             hashes ^= hashes >> np.uint64(32)
-            hashes *= MIX1
-        least, width, wanted = hashes, 1, length - GRAM + 1
+            hashes *= GOLDEN
+        least, width, wanted = hashes, 1, length - ANCHOR + 1
         while width < wanted:
             step = min(width, wanted - width)
             least = np.minimum(least[:-step], least[step:])
@@ -113,6 +120,26 @@ class Runs:
         self.key = least[self.start]
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """The low bytes of the minimizers."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // KEY, 8), np.uint8)
+    wide[:, :KEY] = np.frombuffer(data, np.uint8).reshape(-1, KEY)
+    return wide.view("<u8").ravel()
+
+
+def pack_meta(*columns: list[int]) -> bytes:
+    """Columns of whole numbers, as differences, compressed."""
+    return squeeze(np.diff(np.array(columns, np.int64), axis=1, prepend=0).tobytes())
+
+
+def unpack_meta(data: bytes, columns: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(unsqueeze(data), np.int64).reshape(columns, -1), axis=1)
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(keys) % np.uint64(buckets)).astype(np.int64)
 
@@ -134,8 +161,8 @@ def _minimizers(buckets: int, length: int):
             out: tuple[list, ...] = ([], [], [], [])
             for a, b in pairwise([*cut.tolist(), len(order)]):
                 part = order[a:b]
-                for values, x in zip(out, (int(where[part[0]]), number, keys[part].tobytes(),
-                                           many[part].tobytes()), strict=True):
+                for values, x in zip(out, (int(where[part[0]]), number, packed(keys[part]),
+                                           np.packbits(many[part]).tobytes()), strict=True):
                     values.append(x)
             yield out
     return work
@@ -146,8 +173,9 @@ def _shared(table):
     import pyarrow as pa
 
     numbers = table["chunk"].to_pylist()
-    keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-    flags = [np.frombuffer(x, bool) for x in table["many"].to_pylist()]
+    keys = [unpacked(x) for x in table["keys"].to_pylist()]
+    flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool)
+             for x, k in zip(table["many"].to_pylist(), keys, strict=True)]
     found, back, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     # Chunks may hold rows of one id, so two chunks are taken for two documents here.
     good = n > 1
@@ -158,7 +186,7 @@ def _shared(table):
         at += len(k)
         if len(mine):
             rows[0].append(number)
-            rows[1].append(mine.tobytes())
+            rows[1].append(packed(mine))
     return pa.table({"chunk": pa.array(rows[0], pa.int64()), "shared": pa.array(rows[1], pa.binary())})
 
 
@@ -166,7 +194,7 @@ def _segments(buckets: int, length: int):
     def work(numbers, ids, sizes, data, shared):
         for number, i, s, d, parts in zip(numbers, ids, sizes, data, shared, strict=True):
             runs = Runs(i, s, unsqueeze(d), length)
-            good = np.isin(runs.key, np.concatenate([np.frombuffer(x, np.uint64) for x in parts]))
+            good = np.isin(runs.key & np.uint64((1 << 8 * KEY) - 1), unpacked(b"".join(parts)))
             where = bucket_of(runs.key[good], buckets).tolist()
             sent: dict[int, tuple[list, list, list]] = {}
             seen: dict[bytes, int] = {}
@@ -185,13 +213,13 @@ def _segments(buckets: int, length: int):
                     places.append(start)
             out: tuple[list, ...] = ([], [], [], [], [])
             for bucket, (texts, docs, places) in sent.items():
-                meta = np.array([list(map(len, texts)), docs, places], np.int64)
-                for values, x in zip(out, (bucket, number, squeeze(b"".join(texts)),
-                                           meta.tobytes(), None), strict=True):
+                for values, x in zip(out, (bucket, number, squeeze(b"".join(texts)), pack_meta(
+                        list(map(len, texts)), docs, places), None), strict=True):
                     values.append(x)
             if spans:
-                for values, x in zip(out, (-1, number, None, None, np.array(
-                        spans, np.int64).tobytes()), strict=True):
+                # What is known here already only passes through some bucket.
+                for values, x in zip(out, (number % buckets, number, None, None,
+                                           pack_meta(spans)), strict=True):
                     values.append(x)
             yield out
     return work
@@ -230,14 +258,21 @@ def expand(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int)
 def _repeats(length: int):
     def work(table):
         import pyarrow as pa
-
+        import pyarrow.compute
+
+        known = table.filter(pa.compute.is_valid(table["spans"]))
+        table = table.filter(pa.compute.is_null(table["spans"]))
+        through = (known["chunk"].to_pylist(), known["spans"].to_pylist())
+        if not table.num_rows:
+            return pa.table({"chunk": pa.array(through[0], pa.int64()),
+                             "spans": pa.array(through[1], pa.binary())})
         where: dict[bytes, int] = {}
         distinct: list[bytes] = []
         kind, docs, places, chunks = [], [], [], []
-        for number, packed, meta in zip(table["chunk"].to_pylist(), table["segments"].to_pylist(),
-                                        table["meta"].to_pylist(), strict=True):
-            sizes, ids, starts = np.frombuffer(meta, np.int64).reshape(3, -1)
-            text, at = unsqueeze(packed), 0
+        for number, segments, meta in zip(table["chunk"].to_pylist(), table["segments"].to_pylist(),
+                                          table["meta"].to_pylist(), strict=True):
+            sizes, ids, starts = unpack_meta(meta, 3)
+            text, at = unsqueeze(segments), 0
             for n in sizes.tolist():
                 segment = text[at:at + n]
                 at += n
@@ -275,8 +310,9 @@ def _repeats(length: int):
             else:
                 for a, b in broken.get(k, ()):
                     spans.setdefault(number, []).extend((p + a, p + b - 1 + length))
-        return pa.table({"chunk": pa.array(list(spans), pa.int64()), "spans": pa.array(
-            [np.array(x, np.int64).tobytes() for x in spans.values()], pa.binary())})
+        return pa.table({
+            "chunk": pa.array([*spans, *through[0]], pa.int64()),
+            "spans": pa.array([*map(pack_meta, spans.values()), *through[1]], pa.binary())})
     return work
 
 
@@ -285,7 +321,7 @@ def _cut(ids, sizes, data, spans):
         text = unsqueeze(d)
         edge = np.zeros(len(text) + 1, np.int32)
         for part in parts or []:
-            both = np.frombuffer(part, np.int64).reshape(-1, 2)
+            both = unpack_meta(part, 1).reshape(-1, 2)
             np.add.at(edge, both[:, 0], 1)
             np.add.at(edge, both[:, 1], -1)
         gone = np.cumsum(edge)[:-1] > 0
@@ -303,8 +339,8 @@ def _cut(ids, sizes, data, spans):
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text",
                    length: int = LENGTH) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and the bytes that are left (``kept``)."""
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
+    if length < ANCHOR:
+        raise ValueError(f"length must be at least {ANCHOR}")
     chunks = chunks_of(docs, id, text)
     total = chunks.agg(F.sum("total")).first()[0] or 0
     keys = map_batches(chunks.select("chunk", "ids", "sizes", "data"),
@@ -316,10 +352,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text",
     sent = map_batches(chunks.join(shared, "chunk").select("chunk", "ids", "sizes", "data", "shared"),
                        _segments(max(12, total // PER_SEGMENT_BUCKET), length),
                        "bucket long, chunk long, segments binary, meta binary, spans binary")
-    sent = stage(sent, "segments")
-    found = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(
-        _repeats(length), "chunk long, spans binary")
-    spans = (found.unionByName(sent.where("bucket < 0").select("chunk", "spans"))
+    spans = (sent.groupBy("bucket").applyInArrow(_repeats(length), "chunk long, spans binary")
              .groupBy("chunk").agg(F.collect_list("spans").alias("spans")))
     return map_batches(
         chunks.join(spans, "chunk", "left").select("ids", "sizes", "data", "spans"), _cut,
