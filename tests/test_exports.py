@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyspark.errors import UnusableInput
 from tallyspark.operators.canonical import ingest_report, kept
 from tallyspark.sources.dialects import dialect_profile, repaired_names
-from tallyspark.sources.dispatch import load, load_exports
+from tallyspark.sources.dispatch import describe_exports, load, load_exports
 from tallyspark.sources.factor_table import read_factors
 
 LINES = duckdb.sql("""
@@ -102,6 +102,16 @@ def test_dialects_of_a_folder_become_one_frame(spark, tmp_path):
     assert kept(load_exports(spark, str(tmp_path))).count() == 3 * len(LINES)
 
 
+def test_one_description_per_dialect(spark, tmp_path):
+    put(tmp_path / "a.csv", "czech_bytes")
+    put(tmp_path / "b.csv", "comma_prices_dotted_days")
+    (tmp_path / "c.csv").write_text("client,price\nx,1.5\ny,2.5\n")
+    rows = sorted(describe_exports(spark, str(tmp_path)).collect(), key=lambda r: r.table)
+    assert [(r.delimiter, r.decimal, r.currency, r.language, r.missing) for r in rows] == [
+        (";", ",", "Kč", "cs", ""), (",", ",", "", "en", ""), (",", ".", "", "en", "order_date")]
+    assert rows[0].mapping["unit_price"] == "cena" and rows[0].encoding == "cp1250"
+
+
 def test_the_callers_decimal_mark_counts(spark, tmp_path):
     (tmp_path / "a.csv").write_text("client,created,price\nx,2024-01-02,1.250\ny,2024-01-03,2.500\n")
     values = [r.line_value for r in kept(load(spark, "file", path=str(tmp_path), decimal=","))
@@ -113,11 +123,11 @@ def test_unusable_cells_get_a_reason(spark, tmp_path):
     path = put(tmp_path / "a.csv", "plain")
     with open(path, "a") as f:
         f.write(f"x,n1,no day,1,10\nx,n2,2024-01-01,1,{'9' * 20}\nx,n3,2024-01-01,1,none\n"
-                "  \t,n4,2024-01-01,1,1\n c1\t,n5,\t2024-01-01,1,1\n")
+                "  \t,n4,2024-01-01,1,1\n c1\t,z5,\t2024-01-01,1,1\n")
     report = {r.reason: r.rows for r in ingest_report(load_exports(spark, path)).collect()}
     assert report["kept"] == len(LINES) + 1 and report["unparseable date"] == 1
     assert sum(report.values()) == len(LINES) + 5
-    ids = kept(load_exports(spark, path)).where("order_id = 'n5'").select("customer_id").first()[0]
+    ids = kept(load_exports(spark, path)).where("order_id = 'z5'").select("customer_id").first()[0]
     assert ids == "c1"
 
 
