@@ -141,13 +141,21 @@ def test_silhouette_equals_brute_force(spark):
     scaled = clusters.scale_features(customers(spark, 120))
     frame = scaled.toPandas()
     x, lab = frame[clusters.SCALED].to_numpy(), frame.segment.to_numpy()
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    s = []
-    for i in range(len(x)):
-        own = (lab == lab[i]) & (np.arange(len(x)) != i)
-        a, b = d[i, own].mean(), d[i, lab != lab[i]].mean()
-        s.append((b - a) / max(a, b))
-    assert abs(clusters.silhouette(scaled, "segment").first().silhouette - np.mean(s)) < 1e-9
+    squared = ((x[:, None] - x[None]) ** 2).sum(2)
+    for d, result in ((squared, clusters.silhouette(scaled, "segment")),
+                      (np.sqrt(squared), clusters.silhouette_sampled(scaled, "segment", 1000))):
+        s = []
+        for i in range(len(x)):
+            own = (lab == lab[i]) & (np.arange(len(x)) != i)
+            a, b = d[i, own].mean(), d[i, lab != lab[i]].mean()
+            s.append((b - a) / max(a, b))
+        assert abs(result.first().silhouette - np.mean(s)) < 1e-9
+
+
+def test_the_sampled_silhouette_always_samples(spark):
+    scaled = clusters.scale_features(customers(spark, 120))
+    some = clusters.silhouette_sampled(scaled, "segment", 40).first().silhouette
+    assert some is not None and some != clusters.silhouette_sampled(scaled, "segment", 120).first().silhouette
 
 
 def test_hash_sample_is_exact_in_size(spark):
