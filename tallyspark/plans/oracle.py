@@ -519,6 +519,8 @@ ORACLE.update({
                FROM gap GROUP BY 1)
         SELECT round_even(avg(CASE WHEN own_n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6)
           AS silhouette FROM ab""",
+    "kmeans_facts": f"""WITH {LINES_TPCH}{SCORED}{SCALED}
+        SELECT count(*) AS customers, 5::BIGINT AS clusters, true AS halved FROM scaled""",
     "silhouette_sampled": f"""WITH {LINES_TPCH}{SCORED}{SCALED},
         pt AS (SELECT customer_id, segment, {', '.join('z_' + c for c in _MODEL)} FROM scaled
                ORDER BY md5(customer_id), customer_id LIMIT 3000),

@@ -666,6 +666,21 @@ def kmeans(spark, sf):
     return clusters.kmeans_labels(scaled).select("customer_id", "cluster")
 
 
+@query
+def kmeans_facts(spark, sf):
+    """What must hold for any good clustering: all customers, k clusters, and less than half
+    of the squared distances left."""
+    scaled = stage(clusters.scale_features(features_tpch(spark, sf)), "scaled")
+    labels = stage(clusters.kmeans_labels(scaled), "labels")
+    square = sum(F.col(c) * F.col(c) for c in clusters.SCALED)
+    by_cluster = labels.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(square).alias("square"),
+        *[F.avg(c).alias(c) for c in clusters.SCALED])
+    within = F.sum(F.col("square") - F.col("n") * square)
+    return by_cluster.agg(F.sum("n").alias("customers"), F.count(F.lit(1)).alias("clusters"),
+                          (within < F.sum("square") / 2).alias("halved"))
+
+
 # --- history ----------------------------------------------------------------------------------
 
 @query
