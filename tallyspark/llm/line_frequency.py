@@ -18,12 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.session import stage
+
 from .common import column, map_batches, words_of
 
 #: A line is boilerplate in more than this share of a host's documents, and more than this many.
 MAX_SHARE, MIN_DOCUMENTS = 0.05, 20
 #: A document is depleted if it keeps less than this share of its words or fewer words than this.
 MIN_LEFT, MIN_WORDS = 0.5, 10
+#: Boilerplate lines (eight bytes each) that are sent to every executor at most.
+BROADCAST_LINES = 500_000
 
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
           "n_repeat_words long, base_failed boolean, n_lines_removed long, "
@@ -131,7 +135,11 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "
     Columns of the input named in ``carry`` are handed on as text.
     """
     carry = carry or []
-    drops = frequent_lines(docs, text, host, max_share, min_documents)
+    drops = stage(frequent_lines(docs, text, host, max_share, min_documents), "lines")
+    # Texts stay where they are while the lines fit a broadcast; beyond that Spark sorts both
+    # sides by host and splits a hot one.
+    if (drops.agg(F.sum(F.size("lines"))).first()[0] or 0) <= BROADCAST_LINES:
+        drops = F.broadcast(drops)
     base = docs.select(column(docs, id, "long").alias("doc_id"),
                        column(docs, text, "binary").alias("body"),
                        F.coalesce(column(docs, host, "string"), F.lit("")).alias("host"),
