@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
             "u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"),
                                                             F.col("m").alias("v"))
-        large = large.where("u <> v").groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one")
+        large = large.where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(

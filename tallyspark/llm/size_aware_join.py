@@ -44,7 +44,7 @@ from .components import components
 
 #: Largest size for which subsets are considered, and the cost of a posting in subset keys
 #: (a posting is shuffled twice and its candidates are read in full).
-MAX_LIGHT, POSTING_COST = 40, 6
+MAX_LIGHT, POSTING_COST = 40, 8
 #: Shingles in at least this many documents may be put last; the tables of common words and
 #: of such shingles have this many entries at most.
 OFTEN, TABLE = 64, 1 << 16
@@ -178,7 +178,7 @@ def light_pairs(light: DataFrame, percent: int) -> DataFrame:
 
 
 def may_link(percent: int) -> Column:
-    """Whether two sets of a list, (n, p, last, bits) and (n2, p2, last2, bits2), can link.
+    """Whether two sets, (n, p, last, bits) and (n2, p2, last2, bits2), can link.
 
     ``p`` first shingles of each are known by their bits. A shared shingle up to the nearer of
     the two last ones is among both first parts; the set that ends there has n - p others.
@@ -190,8 +190,15 @@ def may_link(percent: int) -> Column:
     shared = F.least(F.col("p") - missed("bits", "bits2"), F.col("p2") - missed("bits2", "bits"))
     rest = F.when(F.col("last") <= F.col("last2"), F.col("n") - F.col("p")).otherwise(
         F.col("n2") - F.col("p2"))
-    return ((F.greatest("n", "n2") * percent <= F.least("n", "n2") * 100)
-            & ((shared + rest) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent))
+    return (shared + rest) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+
+
+def possible_pairs(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the first shingles do not rule out."""
+    one = facts.withColumnRenamed("rep", "a")
+    two = facts.select(F.col("rep").alias("b"),
+                       *(F.col(c).alias(f"{c}2") for c in ("n", "p", "last", "bits")))
+    return pairs.join(one, "a").join(two, "b").where(may_link(percent)).select("a", "b")
 
 
 def _linked(size: int, percent: int):
@@ -223,6 +230,13 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
     return ordered.where("a <> b").groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
 
 
+def merged(links: DataFrame) -> DataFrame:
+    """(node, root) of the classes that the links make; empty, without further jobs, for none."""
+    if links.isEmpty():
+        return links.sparkSession.createDataFrame([], "node long, root long")
+    return components(links)
+
+
 def join_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3,
                  percent: int = 90) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the least id reachable by links."""
@@ -242,12 +256,14 @@ def join_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     x = boundary({r["n"]: r["count"] for r in rows}, percent)
     lowest = -(-percent * (x + 1) // 100)
     postings = chosen.where(F.col("n") >= lowest).select(
-        F.explode("first").alias("shingle"), "rep", F.col("n").cast("int").alias("n"),
-        F.size("first").alias("p"), "last", "bits")
+        F.explode("first").alias("shingle"), "rep", F.col("n").cast("int").alias("n"))
     shared = postings.groupBy("shingle").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     lists = stage(postings.join(shared.where("lo < hi").select("shingle"), "shingle")
                   .withColumn("root", F.col("rep")), "lists")
 
+    facts = stage(chosen.where(F.col("n") >= lowest).select(
+        "rep", F.col("n").cast("int").alias("n"), F.size("first").alias("p"), "last", "bits"), "facts")
+
     pairs = distinct_pairs(light_pairs(chosen.where(F.col("n") <= x), percent))
     pairs = stage(pairs, "pairs")
     wanted = lists.select("rep").unionByName(pairs.select(F.col("a").alias("rep"))).unionByName(
@@ -258,7 +274,7 @@ def join_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
         "rep long, body binary"), "texts")
     checked, leaders = pairs, 1
     links = stage(check_pairs(pairs, texts, size, percent), "links")
-    roots = components(links)
+    roots = merged(links)
     while True:
         # Lists whose sets are not yet one class, each with its leaders: the least set of each
         # slice. All their pairs are tried in this round, so leaders leave the list after it.
@@ -272,16 +288,18 @@ def join_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
         sliced = lists.withColumn("slice", F.pmod(F.xxhash64("rep", "shingle"), F.lit(leaders)))
         lead = sliced.groupBy("shingle", "slice").agg(F.min("rep").alias("rep")).drop("slice")
         second = lists.join(lead, ["shingle", "rep"]).select(
-            "shingle", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "p", "last", "bits", "root")))
+            "shingle", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "root")))
         tried = lists.join(second, "shingle").where(
-            (F.col("root") != F.col("root2")) & may_link(percent))
+            (F.col("root") != F.col("root2"))
+            & (F.greatest("n", "n2") * percent <= F.least("n", "n2") * 100))
         new = distinct_pairs(tried.select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
+        new = possible_pairs(new, facts, percent)
         new = stage(new.join(checked, ["a", "b"], "left_anti"), "pairs")
         found = stage(check_pairs(new, texts, size, percent), "links")
         checked = checked.unionByName(new)
         if not found.isEmpty():
             links = links.unionByName(found)
-            roots = components(links)
+            roots = merged(links)
         lists = lists.join(lead, ["shingle", "rep"], "left_anti")
         leaders *= 16
     # Set -> class -> component; a hot class is many rows of a join.
