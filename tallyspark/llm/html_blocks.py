@@ -131,7 +131,7 @@ def blocks_of(page: str | None) -> list[Block]:
 
 
 class Buckets(dict):
-    def __init__(self, size: int, limit: int = 500_000) -> None:
+    def __init__(self, size: int, limit: int = 250_000) -> None:
         super().__init__()
         self.size, self.limit = size, limit
 
@@ -410,9 +410,14 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", body: str =
                         column(pages, url, "string").alias("url"),
                         column(pages, body, "string").alias("body"))
     if model is None:
-        # ``train_pages`` rows come to the driver, whatever the table's size.
-        sample = base.where("body is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
-        model = train([r["body"] for r in sample.select("body").collect()])
+        # Ids first, so that no task sends pages that are not chosen; then their pages, in the
+        # same order. ``train_pages`` of both come to the driver, whatever the table's size.
+        known = base.where("body is not null and page_id is not null")
+        chosen = (known.select("page_id", F.xxhash64("page_id").alias("drawn")).distinct()
+                  .orderBy("drawn", "page_id").limit(train_pages).collect())
+        sample = known.where(F.col("page_id").isin([r["page_id"] for r in chosen])).select(
+            "page_id", "body").limit(train_pages).collect()
+        model = train([r["body"] for r in sorted(sample, key=lambda r: r["page_id"])])
 
     def work(ids, urls, bodies):
         for k in range(0, len(ids), 512):
