@@ -25,10 +25,10 @@ def column(df: DataFrame, name: str, kind: str) -> Column:
     return df[name].cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def map_batches(df: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """``work`` turns the column lists of a batch into column lists, batch by batch.
+def map_batches(df: DataFrame, work: Callable, schema: str, megabytes: int = 8) -> DataFrame:
+    """``work`` turns column lists into column lists, for about ``megabytes`` of rows at a time.
 
-    A generator may give several batches for one; an empty table gives an empty table.
+    A generator may give several results for one; an empty table gives an empty table.
     """
     from pyspark.sql.types import StructType
 
@@ -38,17 +38,19 @@ def map_batches(df: DataFrame, work: Callable, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                for out in work(*(c.to_pylist() for c in batch.columns)):
+            step = max(1, int(batch.num_rows * megabytes * 1e6 / max(1, batch.nbytes)))
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                for out in work(*(c.to_pylist() for c in part.columns)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(v, k.type) for v, k in zip(out, kinds, strict=True)],
+                        [pa.array(v, x.type) for v, x in zip(out, kinds, strict=True)],
                         schema=kinds)
 
     return df.mapInArrow(run, schema)
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def squeeze(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unsqueeze(data: bytes) -> bytes:
@@ -65,7 +67,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered for the words met so far."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -46,7 +46,7 @@ class WordIds(dict):
     """Ids (little-endian 32-bit) of a word between blanks, by a tokenizer without context
     across blanks. Words of Latin letters with closing marks are looked up by part."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
