@@ -38,7 +38,9 @@ from .common import GOLDEN, MIX1, MIX2, column, map_batches, mix, squeeze, unsqu
 #: minimizer when it is exchanged (two that agree in these bytes only send a segment more).
 LENGTH, GRAM, ANCHOR, KEY = 50, 8, 20, 6
 #: Bytes of a chunk, and of input for each bucket of minimizers and of segments.
-CHUNK, PER_MINIMIZER_BUCKET, PER_SEGMENT_BUCKET = 2_000_000, 1 << 25, 1 << 23
+CHUNK, PER_MINIMIZER_BUCKET, PER_SEGMENT_BUCKET = 2_000_000, 1 << 25, 1 << 22
+#: Compression of what is written and exchanged: disk counts for more here than time.
+LEVEL = 6
 
 
 def _to_chunks(ids: list, texts: list):
@@ -52,7 +54,7 @@ def _to_chunks(ids: list, texts: list):
             size += len(texts[order[at]] or b"")
             at += 1
         for values, x in zip(out, ([ids[k] for k in some], [len(texts[k] or b"") for k in some],
-                                   size, squeeze(b"".join(texts[k] or b"" for k in some))),
+                                   size, squeeze(b"".join(texts[k] or b"" for k in some), LEVEL)),
                              strict=True):
             values.append(x)
     yield out
@@ -63,7 +65,7 @@ def chunks_of(docs: DataFrame, id: str, text: str) -> DataFrame:
     base = docs.select(column(docs, id, "long").alias("doc_id"),
                        column(docs, text, "binary").alias("body"))
     made = map_batches(base, _to_chunks, "ids array<long>, sizes array<long>, "
-                       "total long, data binary")
+                       "total long, data binary", megabytes=32)
     return stage(made.select(F.monotonically_increasing_id().alias("chunk"), "ids", "sizes",
                              "total", "data"), "chunks")
 
@@ -213,7 +215,7 @@ def _segments(buckets: int, length: int):
                     places.append(start)
             out: tuple[list, ...] = ([], [], [], [], [])
             for bucket, (texts, docs, places) in sent.items():
-                for values, x in zip(out, (bucket, number, squeeze(b"".join(texts)), pack_meta(
+                for values, x in zip(out, (bucket, number, squeeze(b"".join(texts), LEVEL), pack_meta(
                         list(map(len, texts)), docs, places), None), strict=True):
                     values.append(x)
             if spans:
