@@ -25,6 +25,24 @@ def column(df: DataFrame, name: str, kind: str) -> Column:
     return df[name].cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+#: What Python workers remember from task to task, by module, and how to forget it.
+_FORGET: dict[str, Callable[[], None]] = {}
+_AT_WORK: list[str] = [""]
+
+
+def remembered(module: str, forget: Callable[[], None]) -> None:
+    _FORGET[module] = forget
+
+
+def at_work(module: str) -> None:
+    """A worker remembers for one operator only: what others have left is forgotten."""
+    if _AT_WORK[0] != module:
+        _AT_WORK[0] = module
+        for other, forget in _FORGET.items():
+            if other != module:
+                forget()
+
+
 def map_batches(df: DataFrame, work: Callable, schema: str, megabytes: int = 8) -> DataFrame:
     """``work`` turns column lists into column lists, for about ``megabytes`` of rows at a time.
 
@@ -37,6 +55,7 @@ def map_batches(df: DataFrame, work: Callable, schema: str, megabytes: int = 8)
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work(work.__module__)
         for batch in batches:
             step = max(1, int(batch.num_rows * megabytes * 1e6 / max(1, batch.nbytes)))
             for k in range(0, batch.num_rows, step):

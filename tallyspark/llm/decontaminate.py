@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column, map_batches, words_of
+from .common import WordHashes, column, map_batches, remembered, words_of
 
 MAX_EDIT, RECALL, SAMPLED = 0.2, 0.95, 3
 #: Items are compared in blocks of this many, so no closure grows with the benchmark.
@@ -64,6 +64,7 @@ class Symbols(WordHashes):
 
 #: The words met so far; a Python worker keeps them from task to task.
 SYMBOLS = Symbols()
+remembered(__name__, SYMBOLS.clear)
 
 
 class Walk:

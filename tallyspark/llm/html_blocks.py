@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_batches
+from .common import column, map_batches, remembered
 
 #: Pages that the labels are taken from; pages are chosen by the hash of their id.
 TRAIN_PAGES, LAID_OUT, EPOCHS = 200, 300, 6
@@ -144,6 +144,7 @@ class Buckets(dict):
 
 #: Hashes met so far; a Python worker keeps them from task to task.
 PATH_BUCKETS, WORD_BUCKETS = Buckets(PATHS), Buckets(WORDS)
+remembered(__name__, WORD_BUCKETS.clear)
 
 
 def features(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,

@@ -29,7 +29,7 @@ from pyspark.sql import Window
 
 from tallyspark.session import stage
 
-from .common import column, map_batches
+from .common import column, map_batches, remembered
 
 SIZE, CLOSING = 2048, 0
 
@@ -95,6 +95,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+remembered(__name__, word_ids.cache_clear)
+
+
 def _pieces(path: str, size: int, with_ids: bool):
     def work(ids: list, texts: list):
         known, rows = word_ids(path), []

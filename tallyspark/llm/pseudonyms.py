@@ -25,7 +25,7 @@ from math import isqrt
 
 from pyspark.sql import DataFrame
 
-from .common import column, map_batches
+from .common import column, map_batches, remembered
 
 ROUNDS = 10
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
@@ -258,6 +258,9 @@ def replacer(key: bytes, back: bool = False) -> Replacer:
     return Replacer(key, back)
 
 
+remembered(__name__, replacer.cache_clear)
+
+
 def pseudonymise(docs: DataFrame, key: bytes, id: str = "doc_id", text: str = "text",
                  carry: list[str] | None = None, back: bool = False) -> DataFrame:
     """Per row: doc_id, text with pseudonyms, how many values were replaced and of which kinds

@@ -100,7 +100,7 @@ def common_tables(base: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             some = n >= 4
             yield [[kind] * int(some.sum()), found[some].view(np.int64), n[some]]
 
-    rows = stage(map_batches(base.select("body"), count, "kind int, hash long, n long", 32)
+    rows = stage(map_batches(base.select("body"), count, "kind int, hash long, n long", 16)
                  .groupBy("kind", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN),
                  "common")
     return tuple(np.sort(np.array(
