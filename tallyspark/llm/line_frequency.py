@@ -1,9 +1,11 @@
 """Quality rules: lines that many documents of one host show are removed; what is left decides.
 
 A line is compared by the hash of its lower-cased words. Per host, the documents that show it
-are counted; documents that show it between the same two neighbours are taken as copies of
-one another and count once, so a much-copied article does not turn its own text into
-boilerplate. A line above the host's limit is boilerplate there.
+are counted, wherever it stands in them. Copies of one article count once, so a much-copied
+article does not turn its own text into boilerplate: documents are copies if the least hash of
+their three-word runs is the same. Lines that might be boilerplate are left out of it where
+other text makes up half of the document, so a long header does not make articles alike. A
+line above the host's limit is boilerplate there.
 
 Defined results: a null text has no words; a null host is the host with the empty name;
 repeated rows are judged one by one and count once; other input columns are ignored.
@@ -12,6 +14,7 @@ repeated rows are judged one by one and count once; other input columns are igno
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -20,12 +23,14 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import stage
 
-from .common import column, map_batches, words_of
+from .common import column, hash_words, map_batches, runs_of, words_of
 
 #: A line is boilerplate in more than this share of a host's documents, and more than this many.
 MAX_SHARE, MIN_DOCUMENTS = 0.05, 20
 #: A document is depleted if it keeps less than this share of its words or fewer words than this.
 MIN_LEFT, MIN_WORDS = 0.5, 10
+#: Copies are recognised by the runs of this many words.
+RUN_WORDS = 3
 #: Boilerplate lines (eight bytes each) that are sent to every executor at most.
 BROADCAST_LINES = 500_000
 
@@ -42,19 +47,44 @@ def line_key(line: bytes) -> int:
 
 
 def _shown(hosts: list, texts: list):
-    """Host, line and its neighbours, once for each line of a document."""
-    out: tuple[list, ...] = ([], [], [], [])
+    """Host, line and how many of the documents show it."""
+    shows: Counter = Counter()
     for host, text in zip(hosts, texts, strict=True):
-        keys = [k for k in map(line_key, (text or b"").split(b"\n")) if k]
-        seen = set()
-        for before, key, after in zip([0, *keys], keys, [*keys[1:], 0], strict=False):
-            if key not in seen:
-                seen.add(key)
-                for values, x in zip(out, (host, key, before, after), strict=True):
-                    values.append(x)
+        shows.update({(host, k) for k in map(line_key, (text or b"").split(b"\n")) if k})
+    yield [[h for h, _ in shows], [k for _, k in shows], list(shows.values())]
+
+
+def _copies(hosts: list, texts: list, candidates: list):
+    """Host, candidate line and the mark that a document shares with its copies."""
+    found, judged = [], []
+    for host, text, some in zip(hosts, texts, candidates, strict=True):
+        some, shown, rest = set(some), set(), []
+        for line in text.split(b"\n"):
+            key = line_key(line)
+            if key in some:
+                shown.add(key)
+            elif key:
+                rest.append(line)
+        if shown:
+            own = b"\n".join(rest)
+            found.append((host, shown))
+            judged.append(own if 2 * len(words_of(own)) >= len(words_of(text)) else text)
+    out: tuple[list, ...] = ([], [], [])
+    for (host, shown), words in zip(found, hash_words(judged), strict=True):
+        mark = int(runs_of(words, RUN_WORDS).min().view(np.int64))
+        for key in shown:
+            for values, x in zip(out, (host, key, mark), strict=True):
+                values.append(x)
     yield out
 
 
+def _sent(lines: DataFrame) -> DataFrame:
+    """Broadcast while the lines are few, so texts stay where they are; beyond that Spark sorts
+    both sides by host and splits a hot one."""
+    few = (lines.agg(F.sum(F.size("lines"))).first()[0] or 0) <= BROADCAST_LINES
+    return F.broadcast(lines) if few else lines
+
+
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source",
                    max_share: float = MAX_SHARE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """One row per host with boilerplate: the host and its lines' hashes.
@@ -63,17 +93,21 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source",
     """
     base = docs.select(F.coalesce(column(docs, host, "string"), F.lit("")).alias("host"),
                        column(docs, text, "binary").alias("body"))
-    shown = map_batches(base, _shown, "host string, line long, before long, after long")
-    pairs = shown.groupBy("host", "line", "before", "after").agg(F.lit(1).alias("one"))
-    by_before = (pairs.groupBy("host", "line", "before").agg(F.lit(1).alias("one"))
-                 .groupBy("host", "line").agg(F.count("*").alias("n")))
-    by_after = (pairs.groupBy("host", "line", "after").agg(F.lit(1).alias("one"))
-                .groupBy("host", "line").agg(F.count("*").alias("n")))
-    shows = by_before.unionByName(by_after).groupBy("host", "line").agg(F.min("n").alias("n"))
     sizes = base.groupBy("host").agg(F.count("*").alias("size"))
-    return (shows.where(F.col("n") > min_documents).join(sizes, "host")
-            .where(F.col("n") > F.col("size") * max_share)
-            .groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines")))
+
+    def above(shows: DataFrame) -> DataFrame:
+        return (shows.where(F.col("n") > min_documents).join(sizes, "host")
+                .where(F.col("n") > F.col("size") * max_share)
+                .groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines")))
+
+    # All documents first: with copies counted once, only lines above the limit here can stay so.
+    shown = map_batches(base, _shown, "host string, line long, n long")
+    candidates = _sent(stage(above(shown.groupBy("host", "line").agg(F.sum("n").alias("n"))),
+                             "candidates"))
+    marks = map_batches(base.join(candidates, "host").select("host", "body", "lines"), _copies,
+                        "host string, line long, mark long")
+    return above(marks.groupBy("host", "line", "mark").agg(F.lit(1).alias("one"))
+                 .groupBy("host", "line").agg(F.count("*").alias("n")))
 
 
 def repeat_words(ids: np.ndarray, size: int = 5) -> int:
@@ -135,11 +169,7 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "
     Columns of the input named in ``carry`` are handed on as text.
     """
     carry = carry or []
-    drops = stage(frequent_lines(docs, text, host, max_share, min_documents), "lines")
-    # Texts stay where they are while the lines fit a broadcast; beyond that Spark sorts both
-    # sides by host and splits a hot one.
-    if (drops.agg(F.sum(F.size("lines"))).first()[0] or 0) <= BROADCAST_LINES:
-        drops = F.broadcast(drops)
+    drops = _sent(stage(frequent_lines(docs, text, host, max_share, min_documents), "lines"))
     base = docs.select(column(docs, id, "long").alias("doc_id"),
                        column(docs, text, "binary").alias("body"),
                        F.coalesce(column(docs, host, "string"), F.lit("")).alias("host"),
