@@ -1,18 +1,20 @@
-"""Benchmark decontamination: CGK embedding, coordinate-sampling LSH, exact edit distance.
+"""Benchmark decontamination: CGK embedding of anchored parts, exact edit distance.
 
 CGK reads a sequence by a random walk: at step j it puts out the symbol under the cursor and
-moves the cursor on by a random bit that depends on (j, symbol). Equal edits keep two walks
-together, so a small edit distance becomes a small Hamming distance. One hash samples a few
-coordinates of the walk; several independent walks reach the target recall. Symbols are
-words between blanks, lower case, without the marks around them.
+moves the cursor on by a random bit that depends on (j, symbol); past the end it puts out
+nothing. Symbols are words between blanks, lower case, without the marks around them.
+
+At the edit limit a walk over a whole item has little in common with that of its edited copy.
+So an item of n words that may have k edits is cut into k + 1 parts: in every window within the
+limit at least one part is left whole, wherever the edits are. The walk over a part reads no
+word outside it, so a whole part always has the part's hash, and no match is missed.
 
 All windows of a text are embedded at once. The value of step j at every position follows
-from step j + 1 at the same and at the next position, so one walk costs a few vector
-operations per step over the whole batch, not a walk per window.
+from step j + 1 at the same and at the next position, so a walk costs a few vector operations
+per step and word of a part over the whole batch, not a walk per window.
 
-Items are grouped by length, and a group's walks read only as far as its shortest item
-reaches. Every window with an item's hash is then compared with the item by edit distance
-(free end in the window), and a pair counts if it is at most ``max_edit`` of the item's words.
+Where a part's hash is met, the item is aligned with the text around it, free at both ends of
+the window, and a pair counts if the edits are at most ``max_edit`` of the item's words.
 
 Defined results: null and empty texts and items match nothing; repeated rows give repeated
 results; null ids are returned as null; an item without words is ignored.
@@ -20,7 +22,7 @@ results; null ids are returned as null; an item without words is ignored.
 
 from __future__ import annotations
 
-import math
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -31,23 +33,15 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, column, map_batches, remembered, words_of
 
-MAX_EDIT, RECALL, SAMPLED = 0.2, 0.95, 3
+MAX_EDIT = 0.2
 #: Items are compared in blocks of this many, so no closure grows with the benchmark.
 BLOCK = 5000
-#: Coordinates of the walks of two texts within the edit limit differ this often, at most, over
-#: the early part that is sampled (measured on edited items; recall is tested).
-DIFFER = 0.25
-#: A walk is followed this far at most: it reads half as many words.
-STEPS = 12
+#: A part is read by a walk over this many of its words: the most that it has.
+READ = (1, 2, 3, 4, 6, 8, 12)
 MARKS = re.compile(r"^[\W_]+|[\W_]+$")
 SCHEMA = "doc_id long, item_id long, start long, edits long, item_words long"
 
 
-def repeats_for(recall: float, sampled: int = SAMPLED, differ: float = DIFFER) -> int:
-    """Walks needed so that a pair within the limit shares a hash with this probability."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** sampled)))
-
-
 class Symbols(WordHashes):
     """Word to 32-bit symbol; the marks around a word do not count, 0 stands for no word."""
 
@@ -68,24 +62,21 @@ remembered(__name__, SYMBOLS.clear)
 
 
 class Walk:
-    """One random walk of at most ``steps`` steps and the coordinates it samples."""
+    """One random walk over parts of so many words, of two steps a word."""
 
     SPAN = 1 << 14  # positions at a time, so that a step stays inside the processor's cache
 
-    def __init__(self, seed: int, steps: int, sampled: int) -> None:
-        rng = np.random.default_rng(seed)
-        self.salt = np.uint32(rng.integers(1, 2**32))
-        self.sampled = sorted(rng.choice(steps, min(sampled, steps), replace=False).tolist())
+    def __init__(self, seed: int, words: int) -> None:
+        self.salt = np.uint32(np.random.default_rng(seed).integers(1, 2**32))
+        self.words = words
 
     def hashes(self, symbols: np.ndarray) -> np.ndarray:
-        """The hash of the walk that starts at each position; past the end stand zeros."""
-        reach = self.sampled[-1] + 1
-        padded = np.concatenate([symbols, np.zeros(reach, np.uint32)])
+        """The hash of the walk over the part at each position; past the end stand zeros."""
+        padded = np.concatenate([symbols, np.zeros(self.words, np.uint32)])
         out = np.empty(len(symbols), np.uint32)
         for a in range(0, len(symbols), self.SPAN):
-            part = padded[a:a + self.SPAN + reach]
-            value = self._part(part)
-            out[a:a + self.SPAN] = value[:len(part) - reach]
+            part = padded[a:a + self.SPAN + self.words]
+            out[a:a + self.SPAN] = self._part(part)[:len(part) - self.words]
         return out
 
     def _part(self, symbols: np.ndarray) -> np.ndarray:
@@ -94,17 +85,19 @@ class Walk:
         draw ^= draw >> np.uint32(15)
         draw *= np.uint32(0x85EBCA77)
         draw ^= draw >> np.uint32(13)
-        value = np.zeros(len(symbols), np.uint32)
+        # Of the walk from here on, with the cursor on each position as the part's word so and so.
+        value = np.zeros((self.words + 1, len(symbols)), np.uint32)
         bit = np.empty(len(symbols), np.uint32)
-        for j in range(self.sampled[-1], -1, -1):
-            if j < self.sampled[-1]:
-                np.bitwise_and(draw, np.uint32(1 << j), out=bit)
-                np.copyto(value[:-1], value[1:].copy(), where=bit[:-1].astype(bool))
-            if j in self.sampled:
-                value += symbols
-                value *= np.uint32(0xC2B2AE3D)
-                value ^= value >> np.uint32(16)
-        return value
+        for j in range(2 * self.words - 1, -1, -1):
+            np.bitwise_and(draw, np.uint32(1 << j), out=bit)
+            moves = bit[:-1].astype(bool)
+            for word in range(min(self.words, j + 1)):
+                now = value[word]
+                np.copyto(now[:-1], value[word + 1, 1:], where=moves)
+                now += symbols
+                now *= np.uint32(0xC2B2AE3D)
+                now ^= now >> np.uint32(16)
+        return value[0]
 
 
 def edit_distance(item: np.ndarray, window: np.ndarray, limit: int) -> int:
@@ -126,92 +119,120 @@ def edit_distance(item: np.ndarray, window: np.ndarray, limit: int) -> int:
     return int(min(row.min(), limit + 1))
 
 
+def best_window(item: np.ndarray, text: np.ndarray, limit: int) -> tuple[int, int]:
+    """Least edits that turn the item into a window of the text, and the first such window's
+    start; limit + 1 edits if more."""
+    # Read backwards, the last row has the least edits of the windows that start at each place.
+    symbols = text[::-1]
+    steps = np.arange(len(symbols) + 1)
+    row = np.zeros(len(symbols) + 1, np.int64)
+    for k, symbol in enumerate(item[::-1]):
+        new = np.empty_like(row)
+        new[0] = k + 1
+        new[1:] = np.minimum(row[:-1] + (symbols != symbol), row[1:] + 1)
+        row = np.minimum.accumulate(new - steps) + steps
+        if row.min() > limit:
+            return limit + 1, 0
+    edits = int(row.min())
+    return edits, len(symbols) - int(np.flatnonzero(row == edits)[-1])
+
+
+def parts_of(length: int, limit: int) -> list[tuple[int, int]]:
+    """Start and words read of limit + 1 parts of so many words, each word in one part."""
+    cuts = [length * k // (limit + 1) for k in range(limit + 2)]
+    return [(a, max(w for w in READ if w <= b - a)) for a, b in itertools.pairwise(cuts)]
+
+
 class Index:
-    """The walks of every length group and the items under each hash."""
+    """The parts of all items by the words read of them, and where they lie in their items."""
 
-    BITS = 18  # of a hash, looked up before the hash itself
+    BITS = 20  # of a hash, looked up before the hash itself
 
-    def __init__(self, items: list[tuple[int, str]], recall: float, max_edit: float) -> None:
-        self.max_edit = max_edit
+    def __init__(self, items: list[tuple[int, str]], max_edit: float) -> None:
         self.items = []
-        groups: dict[int, list[int]] = {}
+        parts: dict[int, list[tuple[int, int]]] = {}
         for item_id, text in items:
             symbols = SYMBOLS.of(words_of((text or "").encode()))
             if len(symbols):
-                groups.setdefault(min(4, len(symbols).bit_length()), []).append(len(self.items))
-                self.items.append((item_id, symbols))
+                # A limit of as many edits as words would be met by any text.
+                limit = min(int(max_edit * len(symbols)), len(symbols) - 1)
+                for start, words in parts_of(len(symbols), limit):
+                    parts.setdefault(words, []).append((len(self.items), start))
+                self.items.append((item_id, symbols, limit))
         self.groups = []
-        for bits, members in sorted(groups.items()):
-            shortest = min(len(self.items[i][1]) for i in members)
-            # A walk reads half a word a step, so these steps stay inside the item.
-            steps = max(1, min(int(1.2 * shortest), STEPS))
-            for r in range(repeats_for(recall)):
-                seed = xxhash.xxh3_64_intdigest(f"{bits}/{r}".encode())
-                walk, under = Walk(seed, steps, SAMPLED), {}
-                for i in members:
-                    under.setdefault(int(walk.hashes(self.items[i][1])[0]), []).append(i)
-                few = np.zeros(1 << self.BITS, bool)
-                few[[h & (1 << self.BITS) - 1 for h in under]] = True
-                self.groups.append((walk, under, few))
-
-    def matches(self, symbols: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(position, item, edits) of every window within the limit of an item."""
-        seen = set()
+        for words, members in sorted(parts.items()):
+            walk = Walk(xxhash.xxh3_64_intdigest(f"{words}".encode()), words)
+            under: dict[int, list[tuple[int, int]]] = {}
+            of_item = {i: walk.hashes(self.items[i][1]) for i in {i for i, _ in members}}
+            for i, start in members:
+                under.setdefault(int(of_item[i][start]), []).append((i, start))
+            few = np.zeros(1 << self.BITS, bool)
+            few[[h & (1 << self.BITS) - 1 for h in under]] = True
+            self.groups.append((walk, under, few))
+
+    def matches(self, symbols: np.ndarray, starts: np.ndarray,
+                ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, edits, position) of the places in texts that are within an item's limit;
+        the texts lie between these positions."""
+        places: dict[int, list[int]] = {}
         for walk, under, few in self.groups:
             values = walk.hashes(symbols)
             at = np.flatnonzero(few[values & np.uint32((1 << self.BITS) - 1)])
-            starts: dict[int, list[int]] = {}
             for p, h in zip(at.tolist(), values[at].tolist(), strict=True):
-                for i in under.get(h, ()):
-                    if (p, i) not in seen:
-                        seen.add((p, i))
-                        starts.setdefault(i, []).append(p)
-            for i, places in starts.items():
-                item = self.items[i][1]
-                limit = int(self.max_edit * len(item))
-                for p in self._hold(symbols, np.array(places), item, limit):
-                    edits = edit_distance(item, symbols[p:p + len(item) + limit], limit)
+                for i, start in under.get(h, ()):
+                    places.setdefault(i, []).append(p - start)
+        for i, found in places.items():
+            _, item, limit = self.items[i]
+            near = self._hold(symbols, np.unique(found), item, limit)
+            # Places that a few edits may shift into one another are aligned together.
+            for some in np.split(near, np.flatnonzero(np.diff(near) > limit) + 1):
+                if len(some):
+                    d = int(np.searchsorted(starts, some[0] + len(item), "right")) - 1
+                    a = max(int(some[0]) - limit, int(starts[d]))
+                    b = min(int(some[-1]) + len(item) + limit, int(ends[d]))
+                    edits, first = best_window(item, symbols[a:b], limit)
                     if edits <= limit:
-                        yield int(p), i, edits
+                        yield d, i, edits, a + first
 
     @staticmethod
     def _hold(symbols: np.ndarray, places: np.ndarray, item: np.ndarray,
               limit: int) -> np.ndarray:
-        """The places whose window has enough words of the item for the limit."""
+        """The places around which enough words of the item stand for the limit."""
         distinct = np.unique(item)
         needed = len(distinct) - limit
         kept = []
         for part in np.array_split(places, len(places) // 4096 + 1):
-            spread = np.minimum(part[:, None] + np.arange(len(item) + limit), len(symbols) - 1)
-            where = np.searchsorted(distinct, symbols[spread])
+            spread = part[:, None] + np.arange(-limit, len(item) + limit)
+            words = symbols[np.clip(spread, 0, len(symbols) - 1)]
+            where = np.searchsorted(distinct, words)
             where[where == len(distinct)] = 0
-            held = distinct[where] == symbols[spread]
+            held = distinct[where] == words
             found = np.zeros((len(part), len(distinct)), bool)
             found[np.nonzero(held)[0], where[held]] = True
             kept.append(part[found.sum(1) >= needed])
         return np.concatenate(kept)
 
 
-def _search(items: list[tuple[int, str]], recall: float, max_edit: float):
+def _search(items: list[tuple[int, str]], max_edit: float):
     made: list[Index] = []
 
     def work(ids: list, texts: list):
         if not made:
-            made.append(Index(items, recall, max_edit))
+            made.append(Index(items, max_edit))
         index = made[0]
-        longest = max((len(s) for _, s in index.items), default=0)
-        gap = np.zeros(2 * longest + 1, np.uint32)  # no window reaches the next text
-        parts, starts, total = [], [], 0
+        longest = max((len(s) for _, s, _ in index.items), default=0)
+        gap = np.zeros(3 * longest + 1, np.uint32)  # no window reaches the next text
+        parts, starts, ends, total = [gap], [], [], len(gap)
         for text in texts:
             starts.append(total)
             part = SYMBOLS.of(words_of(text))
             parts += [part, gap]
+            ends.append(total + len(part))
             total += len(part) + len(gap)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         if index.items:
-            places = np.array(starts)
-            for p, i, edits in index.matches(np.concatenate(parts)):
-                d = int(np.searchsorted(places, p, "right")) - 1
+            for d, i, edits, p in index.matches(np.concatenate(parts), np.array(starts),
+                                                np.array(ends)):
                 best[d, i] = min(best.get((d, i), (edits, p)), (edits, p))
         rows = [(ids[d], index.items[i][0], p - starts[d], edits, len(index.items[i][1]))
                 for (d, i), (edits, p) in sorted(best.items())]
@@ -234,14 +255,14 @@ def item_blocks(items: DataFrame, id: str, text: str, block: int) -> Iterator[li
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text",
-                 item_id: str = "item_id", item_text: str = "text", recall: float = RECALL,
-                 max_edit: float = MAX_EDIT, block: int = BLOCK) -> DataFrame:
+                 item_id: str = "item_id", item_text: str = "text", max_edit: float = MAX_EDIT,
+                 block: int = BLOCK) -> DataFrame:
     """One row per row of documents and item found in it: the place (word number) of the best
     match and its edits. No shuffle; the documents are read once per block of items."""
     base = docs.select(column(docs, id, "long").alias("doc_id"),
                        column(docs, text, "binary").alias("body"))
     out = None
     for found in item_blocks(items, item_id, item_text, block):
-        part = map_batches(base, _search(found, recall, max_edit), SCHEMA)
+        part = map_batches(base, _search(found, max_edit), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out

@@ -2,7 +2,7 @@
 
 import random
 
-from tallyspark.llm import line_frequency
+from tallyspark.llm import decontaminate, line_frequency
 
 
 def article(rng, n=60):
@@ -34,3 +34,40 @@ def test_copies_of_an_article_are_no_boilerplate(docs):
     rows += [(k, "Top of page\n" + lines_of(article(rng)), "en", "host") for k in range(60, 120)]
     got = line_frequency.judge(docs(rows)).collect()
     assert all(r["n_lines_removed"] == 1 and r["kept"] for r in got)
+
+
+def test_items_edited_at_the_limit_anywhere(docs, spark):
+    """As many edits as are allowed: at the head, at the end, evenly, or anywhere, of any kind."""
+    rng = random.Random(4)
+    items = [(n, " ".join(article(rng, n))) for n in (5, 9, 10, 14, 15, 24, 37, 59)]
+    rows, planted = [], {}
+    for n, text in items:
+        limit = n // 5
+        places = {"head": list(range(limit)), "end": list(range(n - limit, n)),
+                  "even": [k * n // limit for k in range(limit)]}
+        places |= {f"any{k}": sorted(rng.sample(range(n), limit)) for k in range(4)}
+        for at in places.values():
+            for edit in ("replace", "delete", "insert", "mixed"):
+                words = text.split()
+                for k in reversed(at):
+                    kind = rng.choice(["replace", "delete", "insert"]) if edit == "mixed" else edit
+                    words[k:k + (kind != "insert")] = ["x%d" % rng.randrange(99)] * (kind != "delete")
+                planted[len(rows), n] = limit
+                around = [f"pad{rng.randrange(99)}" for _ in range(20)]
+                rows.append((len(rows), " ".join(around[:10] + words + around[10:])))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs(rows), table).collect()}
+    assert got.keys() == planted.keys()
+    for pair, r in got.items():
+        assert r["edits"] <= planted[pair] and 0 <= r["start"] <= 10 + planted[pair]
+
+
+def test_windows_against_all_windows():
+    rng = random.Random(5)
+    for _ in range(200):
+        item, text = (decontaminate.np.array([rng.randrange(1, 5) for _ in range(rng.randrange(1, top))],
+                                             decontaminate.np.uint32) for top in (9, 20))
+        each = [decontaminate.edit_distance(item, text[a:], len(item)) for a in range(len(text) + 1)]
+        limit = rng.randrange(len(item) + 1)
+        want = (min(each), each.index(min(each))) if min(each) <= limit else (limit + 1, 0)
+        assert decontaminate.best_window(item, text, limit) == want
