@@ -8,6 +8,11 @@ computed anew, separators, case and length stay, a date becomes a valid date. Th
 depends on key and kind only, so equal values get equal pseudonyms in every document and
 unequal ones never do, and whoever holds the key can undo it.
 
+A card that stands next to other digits is looked for inside the run of digit groups if the
+longest number fails its test, an IBAN by the length of its country. Where the pseudonyms would
+be read differently among their neighbours, the next images are taken; only there can equal
+values get unequal pseudonyms.
+
 Defined results: a null text stays null, an empty one empty, with no finds; values that fail
 their test stay; dates outside 1900-2099 stay; repeated rows get the same result; a hit is
 never longer or shorter than its value except an IP address, whose octets vary in width.
@@ -31,6 +36,16 @@ ROUNDS = 10
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 HEX = "0123456789abcdef"
+#: Digits in the groups of a card as it is usually written, if they are not all in one group.
+CARDS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 1), (4, 4, 4, 4, 3)}
+#: Letters and digits of an IBAN by country.
+IBAN_LENGTHS = {c: n for n, names in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in names.split()}
 
 NUMBERS = re.compile(r"""(?<![\w@])(?:
     (?P<iban>[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![\w@]))
@@ -44,8 +59,15 @@ NUMBERS = re.compile(r"""(?<![\w@])(?:
 )""".replace(r"\6", r"(?P=sep)").replace("([.-])", "(?P<sep>[.-])"), re.X)
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}"
                    r"@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
-SECRET = re.compile(r"""(?<=[=:\s"'])[0-9a-f]{16,64}(?![0-9A-Za-z])""")
+SECRET = re.compile(r"""(?<=[=:\s"'])[0-9a-fA-F]{16,64}(?![0-9A-Za-z])""")
 SECRET_NAME = re.compile(r"""(?:password|passwd|token|secret|key)\s*[=:]\s*["']?$""", re.I)
+#: Whole groups of digits as far as single blanks and hyphens join them.
+RUN = re.compile(r"\d+(?:[ -]\d+(?![\w@]))*")
+#: The first group, and more groups with digits: as many as are looked at together.
+GROUP = re.compile(r"\w+")
+MORE = re.compile(r"(?:[ -]\w*\d\w*(?!\w)){0,30}")
+#: No card is written longer: nineteen digits and a mark between any two.
+CARD_SPAN = 37
 
 
 class Permuter:
@@ -123,6 +145,10 @@ def _fill(pattern: str, new: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in pattern)
 
 
+def kind_of(m: re.Match) -> str:
+    return m.lastgroup if m.lastgroup not in ("mark", "sep") else "date" if m["date"] else "phone"
+
+
 def _ssn_valid(d: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
@@ -220,7 +246,18 @@ class Replacer:
         return text[:4] + self._spell("access", text[4:], [UPPER + DIGITS] * 16)
 
     def _secret(self, text: str) -> str | None:
-        return self._spell("secret", text, [HEX] * len(text))
+        lower, upper = (any(c in letters for c in text) for letters in (LOWER, UPPER))
+        if not upper:
+            return self._spell("secret", text, [HEX] * len(text))
+        if lower:
+            return self._spell("mixed", text, [HEX + HEX[10:].upper()] * len(text),
+                               lambda x: x.lower() != x != x.upper())
+
+        def valid(x: str) -> bool:
+            """Not all digits, and no IBAN, which is found by itself."""
+            m = NUMBERS.match(x)
+            return not x.isdigit() and not (m and m["iban"] and self._iban(x))
+        return self._spell("upper", text, [HEX.upper()] * len(text), valid) if valid(text) else None
 
     def _email(self, text: str) -> str | None:
         name, _, host = text.lower().rpartition("@")
@@ -229,6 +266,101 @@ class Replacer:
                        for k, x in (("name", name), ("host", labels))) + "." + top
         return "".join(n.upper() if o.isupper() else n for n, o in zip(new, text, strict=True))
 
+    def _cards(self, run: str, stop: int) -> tuple[int, int] | None:
+        """Where in a run of digit groups a card stands that starts before ``stop``: one written
+        as usual, if there is any, then the first and longest."""
+        groups = [m.span() for m in re.finditer(r"\d+", run)]
+        best = None
+        for k, (a, _) in enumerate(groups):
+            if a >= stop:
+                break
+            sizes: tuple[int, ...] = ()
+            for x, b in groups[k:]:
+                sizes += (b - x,)
+                n = sum(sizes)
+                if n > 19:
+                    break
+                if n >= 13:
+                    rank = (len(sizes) > 1 and sizes not in CARDS, a, -n)
+                    if (best is None or rank < best[0]) and self.value("card", run[a:b]):
+                        best = rank, (a, b)
+        return best and best[1]
+
+    def _iban_end(self, text: str, a: int, b: int) -> int | None:
+        """Where an IBAN of its country's length ends that starts like the match."""
+        left = IBAN_LENGTHS.get(text[a:a + 2], 0)
+        for k in range(a, b):
+            left -= text[k] != " "
+            if not left:
+                whole = not re.match(r"[\w@]", text[k + 1:k + 2])
+                return k + 1 if whole and self.value("iban", text[a:k + 1]) else None
+        return None
+
+    def _finds(self, text: str, a: int, b: int) -> list[tuple[int, int, str]]:
+        """Start, end and kind of the numbers that hold between two places, in order."""
+        out = []
+        while (m := NUMBERS.search(text, a)) and m.end() <= b:
+            kind, (x, y) = kind_of(m), m.span()
+            if kind == "iban":
+                y = self._iban_end(text, x, y) or y
+            if kind == "card" and self.value(kind, text[x:y]) is None:
+                run = RUN.match(text, x, min(b, x + 3 * CARD_SPAN))[0]
+                found = self._cards(run, y - x)
+                if found:
+                    out += self._finds(text, x, x + found[0]) if found[0] else []
+                    x, y = x + found[0], x + found[1]
+            if self.value(kind, text[x:y]) is not None:
+                out.append((x, y, kind))
+            elif kind in ("card", "iban"):
+                y = GROUP.match(text, x).end()
+            a = y
+        return out
+
+    def _stretch(self, text: str, a: int, b: int) -> tuple[str, list[str], int]:
+        """The text between two places with its numbers replaced, their kinds, and where the
+        last of them ends."""
+        edge = min(a, 1)
+        before, new, after = text[a - edge:a], text[a:b], text[b:b + 1]
+        finds = self._finds(before + new + after, edge, edge + b - a)
+        while finds:
+            parts, at = [], 0
+            for x, y, kind in finds:
+                parts += [new[at:x - edge], self.value(kind, new[x - edge:y - edge])]
+                at = y - edge
+            new = "".join([*parts, new[at:]])
+            if self._finds(before + new + after, edge, edge + b - a) == finds:
+                break
+        return new, [kind for *_, kind in finds], a + finds[-1][1] - edge if finds else a
+
+    def _numbers(self, text: str, found: Counter) -> str:
+        out, at, a = [], 0, 0
+        while m := NUMBERS.search(text, a):
+            kind, (x, a) = kind_of(m), m.span()
+            if kind == "iban":
+                a = self._iban_end(text, x, a) or a
+            new = self.value(kind, text[x:a])
+            kinds = [kind]
+            if new is None:
+                new, kinds = text[x:a], []
+                if kind in ("card", "iban"):
+                    a = MORE.match(text, a).end()
+                    # A date may begin with the last group.
+                    last = re.search(r"\w+$", text[x:a]).start()
+                    n = last and NUMBERS.match(text, x + last)
+                    cut = MORE.match(text, a).end() > a
+                    a = x + last - 1 if n and kind_of(n) in ("date", "ip") else a
+                    new, kinds, done = self._stretch(text, x, a)
+                    part = text[x:max(x, a - CARD_SPAN)]
+                    mark = max(part.rfind(" "), part.rfind("-"))
+                    if cut and mark > 0:
+                        # More groups follow; a card that reaches into them is still to be found.
+                        a = max(done, x + mark)
+                        new = new[:a - x]
+            found.update(kinds)
+            out += [text[at:x], new]
+            at = a
+        return "".join([*out, text[at:]])
+
     def replace(self, text: str) -> tuple[str, Counter]:
         found: Counter = Counter()
 
@@ -246,9 +378,7 @@ class Replacer:
                 text = SECRET.sub(
                     lambda m: put("secret", m[0]) if SECRET_NAME.search(
                         m.string[max(0, m.start() - 24):m.start()]) else m[0], text)
-            text = NUMBERS.sub(
-                lambda m: put(m.lastgroup if m.lastgroup not in ("mark", "sep") else
-                              ("date" if m["date"] else "phone"), m[0]), text)
+            text = self._numbers(text, found)
         return text, found
 
 

@@ -2,7 +2,9 @@
 
 import random
 
-from tallyspark.llm import decontaminate, line_frequency
+import pytest
+
+from tallyspark.llm import decontaminate, line_frequency, pseudonyms
 
 
 def article(rng, n=60):
@@ -71,3 +73,39 @@ def test_windows_against_all_windows():
         limit = rng.randrange(len(item) + 1)
         want = (min(each), each.index(min(each))) if min(each) <= limit else (limit + 1, 0)
         assert decontaminate.best_window(item, text, limit) == want
+
+
+@pytest.mark.parametrize("text,values", [
+    ("4111 1111 1111 1111 12/25", ["4111 1111 1111 1111"]),
+    ("4111111111111111 123", ["4111111111111111"]), ("7 4111111111111111", ["4111111111111111"]),
+    ("7 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ("12 34 4111 1111 1111 1111 99", ["4111 1111 1111 1111"]),
+    ("4111 1111 1111 1111 12 4012-8888-8888-1881 7", ["4111 1111 1111 1111", "4012-8888-8888-1881"]),
+    ("4111 1111 1111 1111 12 12/25/2020", ["4111 1111 1111 1111", "12/25/2020"]),
+    ("BE68 5390 0754 7034 BANK", ["BE68 5390 0754 7034"]),
+    ("BE68539007547034 4111111111111111", ["BE68539007547034", "4111111111111111"]),
+    ("AB12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ("token=9233A8ECF7C5D01B", ["9233A8ECF7C5D01B"]), ("key: 9233A8ecf7c5D01b", ["9233A8ecf7c5D01b"])])
+def test_values_next_to_other_digits(text, values):
+    for k in range(40):
+        one, back = (pseudonyms.Replacer(b"k%d" % k, back=b) for b in (False, True))
+        new, found = one.replace(f"x {text}.")
+        assert sum(found.values()) == len(values) and len(new) == len(text) + 3
+        assert not any(v in new for v in values)
+        assert back.replace(new)[0] == f"x {text}."
+
+
+def test_cards_in_a_long_row_of_numbers():
+    rng = random.Random(6)
+    groups = [str(rng.randrange(10 ** rng.randrange(1, 5))) for _ in range(3000)]
+    for k in range(50, 3000, 100):
+        groups[k:k + 4] = ["4111", "1111", "1111", "1111"]
+    new, _ = pseudonyms.Replacer(b"k").replace(" ".join(groups))
+    assert "4111 1111 1111 1111" not in new and len(new) == len(" ".join(groups))
+
+
+def test_a_row_of_numbers_without_values_stays():
+    for text in ("1234 5678 1234 5678 31/31/2020", "1234 5678 1234 5679 1", "AB12 1234 1234 1234 BANK"):
+        assert pseudonyms.Replacer(b"k").replace(text) == (text, {})
+    new, found = pseudonyms.Replacer(b"k").replace("1234 5678 1234 5678 12/25/2020")
+    assert found == {"date": 1} and new.startswith("1234 5678 1234 5678 ")
