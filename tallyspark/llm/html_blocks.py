@@ -12,7 +12,8 @@ and whose article often has no telling name, with menus, notices, adverts, forms
 comments around and inside it, so the model cannot lean on one element alone.
 
 Defined results: null and empty pages, and pages without a block of text, give an empty text;
-an unclosed element ends with its parent; repeated rows give repeated results; very long pages
+an unclosed element ends with its parent, and what follows an unclosed frame, image, list or other
+element that is not read is read; repeated rows give repeated results; very long pages
 are read whole, a page at a time; an empty table gives an empty table.
 """
 
@@ -22,6 +23,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,8 +42,9 @@ TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark "
              "nobr q ruby s samp small span strike strong sub sup time tt u var wbr".split())
-UNREAD = set("script style noscript template iframe object svg math head title textarea select "
-             "canvas audio video".split())
+#: Text to its end tag, whatever stands in it; and elements that are left out if they have one.
+RAW = set("script style title textarea".split())
+UNREAD = set("noscript template iframe object svg math select canvas audio video".split())
 EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of this name ends an open element of these names.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -72,6 +75,41 @@ def names_of(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def ends_of(page: str) -> dict[int, int]:
+    """Where the elements that are not read end, by where their start tags end; those that are
+    still open when their parent or the page ends are not here."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    opened: Counter = Counter()
+    at = 0
+    while m := TAG.search(page, at):
+        at = m.end()
+        name = (m["name"] or m["name2"] or "").lower()
+        if not name or name in INLINE or name in EMPTY:
+            continue
+        if m["end"] or m["end2"]:
+            if opened[name]:
+                while True:
+                    last, start = stack.pop()
+                    opened[last] -= 1
+                    if last == name:
+                        break
+                if name in UNREAD:
+                    out[start] = at
+        elif not (m["attrs"] or m["attrs2"] or "").endswith("/"):
+            if name in RAW:
+                at = raw_end(page, name, at)
+            else:
+                stack.append((name, at))
+                opened[name] += 1
+    return out
+
+
+def raw_end(page: str, name: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks that have text, in page order."""
     page = page or ""
@@ -80,6 +118,7 @@ def blocks_of(page: str | None) -> list[Block]:
     held: list[str] = []
     linked = at = 0
     in_link = False
+    ends: dict[int, int] | None = None
 
     def close() -> None:
         nonlocal linked
@@ -105,11 +144,16 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         start = not (m["end"] or m["end2"])
         attrs = m["attrs"] or m["attrs2"] or ""
-        if name in UNREAD:
+        if name in RAW:
             close()
             if start and not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = raw_end(page, name, at)
+        elif name in UNREAD or name == "head":
+            # A head's end tag may be missing; what is not read in it are its elements.
+            close()
+            if start and name in UNREAD:
+                ends = ends_of(page) if ends is None else ends
+                at = ends.get(at, at)
         elif name in INLINE:
             if name == "a":
                 in_link = start

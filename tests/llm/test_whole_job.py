@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyspark.llm import decontaminate, line_frequency, pseudonyms
+from tallyspark.llm import decontaminate, html_blocks, line_frequency, pseudonyms
 
 
 def article(rng, n=60):
@@ -109,3 +109,17 @@ def test_a_row_of_numbers_without_values_stays():
         assert pseudonyms.Replacer(b"k").replace(text) == (text, {})
     new, found = pseudonyms.Replacer(b"k").replace("1234 5678 1234 5678 12/25/2020")
     assert found == {"date": 1} and new.startswith("1234 5678 1234 5678 ")
+
+
+@pytest.mark.parametrize("page,texts", [
+    ("<html><head><title>t</title><meta x><style>s</style><body><p>a<p>b", ["a", "b"]),
+    ("<head><title>t</title><div>a</div><p>b</p>", ["a", "b"]),
+    ("<head><title>t</title></head><body><p>a</p></body>", ["a"]),
+    ("<div><select><option>x</div><p>a</p>", ["x", "a"]),
+    ("<div><svg></div><p>a</p><svg><g>no</g></svg><p>b</p>", ["a", "b"]),
+    ("<body><object data=x><p>a</p><iframe src=y><p>b</p></body>", ["a", "b"]),
+    ("<noscript><template><p>a</p>", ["a"]),
+    ("<object>x<object>y</object>z</object><p>a</p>", ["a"]),
+    ("<p>a</p><script>x = '</p>'<p>b", ["a"])])
+def test_unclosed_elements_lose_nothing(page, texts):
+    assert [b.text for b in html_blocks.blocks_of(page)] == texts
