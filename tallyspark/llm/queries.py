@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.session import stage, stage_path
 
 from . import arc_convert, bwt_repeats, decontaminate, html_blocks, line_frequency, packing
-from . import pseudonyms, size_aware_join, token_rollup, url_lists
+from . import merkle_manifest, pseudonyms, size_aware_join, token_rollup, url_lists
 from .common import table
 
 
@@ -114,6 +114,11 @@ def op10_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_merkle_descent(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document proven by descent of the manifest, tampered ones found out."""
+    return merkle_manifest.audit(merkle_manifest.build(table(spark, folder, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_block_lstm, op2_feistel_pseudonyms, op3_size_aware_join, op4_arc_to_warc, op5_best_two_fit, op6_line_frequency, op7_temporal_lists,
-    op8_cgk_decontamination, op9_bwt_repeats, op10_token_rollup)}
+    op8_cgk_decontamination, op9_bwt_repeats, op10_token_rollup, op11_merkle_descent)}

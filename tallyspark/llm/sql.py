@@ -96,6 +96,70 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM base"""
 
 
+def _cell(name: str, value: str | None = None) -> str:
+    """The value with its length in bytes in front."""
+    value = f"({value or name})::VARCHAR"
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE octet_length(encode({value})) || ':' || {value} END"
+
+
+_HEAD = " || ".join(_cell(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: The register of CRC-32 after the digits of doc_id, bit by bit, before it is inverted.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+  range(8 * length(doc_id::VARCHAR)), lambda k: CASE WHEN k % 8 = 0
+  THEN ascii(substr(doc_id::VARCHAR, (k // 8 + 1)::INT, 1))::BIGINT ELSE 0 END)),
+  lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)))"""
+_SIBLINGS = """coalesce(lag(h, 2) OVER run, '') || coalesce(lag(h) OVER run, '') AS low,
+  coalesce(lead(h) OVER run, '') || coalesce(lead(h, 2) OVER run, '') AS high"""
+
+OP11 = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, source, sha256({_HEAD} || {_cell("text")}) AS leaf,
+    CASE WHEN {_CRC} % 2 = 1 THEN sha256({_HEAD} || {_cell("text", "replace(text, chr(10), '')")})
+    END AS tampered FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY source) AS n FROM leaf),
+up AS (
+  SELECT source, 0 AS level, place, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT source, level + 1, place // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY place))
+  FROM up WHERE n > 1 GROUP BY source, level, place // 3, n),
+tops AS (
+  SELECT source, h, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS place,
+    count(*) OVER () AS n FROM up WHERE n = 1),
+above AS (
+  SELECT 0 AS level, place, n, h FROM tops
+  UNION ALL
+  SELECT level + 1, place // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY place))
+  FROM above WHERE n > 1 GROUP BY level, place // 3, n),
+beside AS (
+  SELECT source, level, place, n, {_SIBLINGS} FROM up
+  WINDOW run AS (PARTITION BY source, level, place // 3 ORDER BY place)),
+beside_above AS (
+  SELECT level, place, n, {_SIBLINGS} FROM above
+  WINDOW run AS (PARTITION BY level, place // 3 ORDER BY place)),
+climb AS (
+  SELECT doc_id, place AS spot, source, 0 AS level, place, n, coalesce(tampered, leaf) AS h, '' AS proof
+  FROM placed
+  UNION ALL
+  SELECT doc_id, spot, c.source, level + 1, place // 3, (n + 2) // 3, sha256(low || c.h || high),
+    proof || low || high
+  FROM climb c JOIN beside b USING (level, place, n)
+  WHERE n > 1 AND c.source IS NOT DISTINCT FROM b.source),
+climb_above AS (
+  SELECT doc_id, spot, c.source, 0 AS level, t.place, t.n, c.h, proof
+  FROM climb c JOIN tops t ON c.n = 1 AND c.source IS NOT DISTINCT FROM t.source
+  UNION ALL
+  SELECT doc_id, spot, source, level + 1, place // 3, (n + 2) // 3, sha256(low || c.h || high),
+    proof || low || high
+  FROM climb_above c JOIN beside_above b USING (level, place, n) WHERE n > 1)
+SELECT p.doc_id, leaf, t.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256,
+  c.h AS folded_root, c.h = r.h AS verified
+FROM climb_above c JOIN placed p ON c.n = 1 AND p.place = c.spot
+  AND p.source IS NOT DISTINCT FROM c.source
+JOIN tops t ON t.source IS NOT DISTINCT FROM c.source JOIN above r ON r.n = 1"""
+
+
 def _pick(k: int) -> str:
     return f"('0x' || substr(md5(pattern), {1 + 4 * k}, 4))::INT"
 
@@ -157,5 +221,5 @@ FROM d LEFT JOIN cut USING (doc_id)"""
 
 SQL: dict[str, str] = {
     "op3_size_aware_join": OP3, "op4_arc_to_warc": OP4, "op6_line_frequency": OP6,
-    "op7_temporal_lists": OP7, "op9_bwt_repeats": OP9,
+    "op7_temporal_lists": OP7, "op9_bwt_repeats": OP9, "op11_merkle_descent": OP11,
 }
