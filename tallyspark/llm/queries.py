@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyspark.session import stage, stage_path
 
 from . import arc_convert, bwt_repeats, decontaminate, html_blocks, line_frequency, packing
-from . import merkle_manifest, pseudonyms, size_aware_join, token_rollup, url_lists
+from . import merkle_manifest, pseudonyms, size_aware_join, token_alignment, token_rollup
+from . import url_lists
 from .common import table
 
 
@@ -119,6 +120,14 @@ def op11_merkle_descent(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.audit(merkle_manifest.build(table(spark, folder, "documents")))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of two tokenizers over all documents, weighed by the corpus."""
+    return token_alignment.align_documents(
+        table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"),
+        vocabulary("piece_bpe_32k.model")).drop("pairs", "times")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_block_lstm, op2_feistel_pseudonyms, op3_size_aware_join, op4_arc_to_warc, op5_best_two_fit, op6_line_frequency, op7_temporal_lists,
-    op8_cgk_decontamination, op9_bwt_repeats, op10_token_rollup, op11_merkle_descent)}
+    op8_cgk_decontamination, op9_bwt_repeats, op10_token_rollup, op11_merkle_descent,
+    op12_token_alignment)}
