@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import stage, stage_path
 
-from . import arc_convert, bwt_repeats, decontaminate, html_blocks, line_frequency, packing
-from . import merkle_manifest, pseudonyms, size_aware_join, token_alignment, token_rollup
-from . import url_lists
+from . import arc_convert, bwt_repeats, decontaminate, embedding_dedup, html_blocks
+from . import line_frequency, merkle_manifest, packing, pseudonyms, size_aware_join
+from . import token_alignment, token_rollup, url_lists
 from .common import table
 
 
@@ -127,7 +127,12 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
         vocabulary("piece_bpe_32k.model")).drop("pairs", "times")
 
 
+def op13_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings with a cosine of 0.9 or more."""
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_block_lstm, op2_feistel_pseudonyms, op3_size_aware_join, op4_arc_to_warc, op5_best_two_fit, op6_line_frequency, op7_temporal_lists,
     op8_cgk_decontamination, op9_bwt_repeats, op10_token_rollup, op11_merkle_descent,
-    op12_token_alignment)}
+    op12_token_alignment, op13_cross_polytope)}
