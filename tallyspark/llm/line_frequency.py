@@ -1,14 +1,14 @@
 """Quality rules: lines that many documents of one host show are removed; what is left decides.
 
-A line is compared by the hash of its lower-cased words. Per host, the documents that show it
-are counted, wherever it stands in them. Copies of one article count once, so a much-copied
-article does not turn its own text into boilerplate: documents are copies if the least hash of
-their three-word runs is the same. Lines that might be boilerplate are left out of it where
-other text makes up half of the document, so a long header does not make articles alike. A
-line above the host's limit is boilerplate there.
-
-Defined results: a null text has no words; a null host is the host with the empty name;
-repeated rows are judged one by one and count once; other input columns are ignored.
+A line is compared by the hash of its lower-cased words. Per host, the distinct documents that
+show it are counted, wherever it stands in them: rows with the same whole text are one document,
+rows that differ anywhere are several. A line above the host's limit is boilerplate there, however
+much of a document it makes up, and a document that loses too much with it is rejected. So near
+copies of one article are rejected together only where they are more than the limit of their host.
+
+Defined results: a null text has no words; a null host is the host with the empty name; repeated
+rows are judged one by one and count once; very long texts and lines are counted and cut like
+others; an empty table gives no rows; other input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,14 +23,12 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import stage
 
-from .common import column, hash_words, map_batches, runs_of, words_of
+from .common import column, map_batches, words_of
 
 #: A line is boilerplate in more than this share of a host's documents, and more than this many.
 MAX_SHARE, MIN_DOCUMENTS = 0.05, 20
 #: A document is depleted if it keeps less than this share of its words or fewer words than this.
 MIN_LEFT, MIN_WORDS = 0.5, 10
-#: Copies are recognised by the runs of this many words.
-RUN_WORDS = 3
 #: Boilerplate lines (eight bytes each) that are sent to every executor at most.
 BROADCAST_LINES = 500_000
 
@@ -54,26 +52,14 @@ def _shown(hosts: list, texts: list):
     yield [[h for h, _ in shows], [k for _, k in shows], list(shows.values())]
 
 
-def _copies(hosts: list, texts: list, candidates: list):
-    """Host, candidate line and the mark that a document shares with its copies."""
-    found, judged = [], []
-    for host, text, some in zip(hosts, texts, candidates, strict=True):
-        some, shown, rest = set(some), set(), []
-        for line in text.split(b"\n"):
-            key = line_key(line)
-            if key in some:
-                shown.add(key)
-            elif key:
-                rest.append(line)
-        if shown:
-            own = b"\n".join(rest)
-            found.append((host, shown))
-            judged.append(own if 2 * len(words_of(own)) >= len(words_of(text)) else text)
+def _showing(hosts: list, texts: list, candidates: list):
+    """Host, candidate line and the digest of a text that shows it."""
     out: tuple[list, ...] = ([], [], [])
-    for (host, shown), words in zip(found, hash_words(judged), strict=True):
-        mark = int(runs_of(words, RUN_WORDS).min().view(np.int64))
+    for host, text, some in zip(hosts, texts, candidates, strict=True):
+        shown = {line_key(line) for line in text.split(b"\n")} & set(some)
+        digest = int(np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64)) if shown else 0
         for key in shown:
-            for values, x in zip(out, (host, key, mark), strict=True):
+            for values, x in zip(out, (host, key, digest), strict=True):
                 values.append(x)
     yield out
 
@@ -100,13 +86,13 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source",
                 .where(F.col("n") > F.col("size") * max_share)
                 .groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines")))
 
-    # All documents first: with copies counted once, only lines above the limit here can stay so.
+    # All rows first: with copies counted once, only lines above the limit here can stay so.
     shown = map_batches(base, _shown, "host string, line long, n long")
     candidates = _sent(stage(above(shown.groupBy("host", "line").agg(F.sum("n").alias("n"))),
                              "candidates"))
-    marks = map_batches(base.join(candidates, "host").select("host", "body", "lines"), _copies,
-                        "host string, line long, mark long")
-    return above(marks.groupBy("host", "line", "mark").agg(F.lit(1).alias("one"))
+    showing = map_batches(base.where("body is not null").join(candidates, "host").select(
+        "host", "body", "lines"), _showing, "host string, line long, digest long")
+    return above(showing.groupBy("host", "line", "digest").agg(F.lit(1).alias("one"))
                  .groupBy("host", "line").agg(F.count("*").alias("n")))
 
 

@@ -62,20 +62,13 @@ rep AS (
       SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, five) AS times FROM win)
     WHERE times > 1) GROUP BY 1),
 ln AS (
-  SELECT doc_id, host, line, pos, {_LINE_KEY} AS key FROM (
-    SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line,
-      generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
+  SELECT doc_id, host, line, {_LINE_KEY} AS key FROM (
+    SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d)),
 full_line AS (SELECT * FROM ln WHERE key <> ''),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_line GROUP BY 1),
-near AS (
-  SELECT doc_id, host, key, pos,
-    coalesce(lag(key) OVER p, '') AS before, coalesce(lead(key) OVER p, '') AS after
-  FROM full_line WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
-shown AS (SELECT host, key, arg_min(before, pos) AS before, arg_min(after, pos) AS after
-          FROM near GROUP BY doc_id, host, key),
 often AS (
   SELECT host, key FROM (
-    SELECT host, key, least(count(DISTINCT before), count(DISTINCT after)) AS n FROM shown GROUP BY 1, 2)
+    SELECT l.host, key, count(DISTINCT md5(text)) AS n FROM full_line l JOIN d USING (doc_id) GROUP BY 1, 2)
   JOIN (SELECT host, count(*) AS size FROM d GROUP BY 1) USING (host)
   WHERE n > {lf.MIN_DOCUMENTS} AND n > size * {lf.MAX_SHARE}::DOUBLE),
 gone AS (

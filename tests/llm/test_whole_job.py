@@ -24,20 +24,30 @@ def test_lines_with_the_same_neighbours_are_boilerplate(docs):
     assert len(got) == 60 and all(r["n_lines_removed"] == 4 and r["kept"] for r in got)
 
 
-def test_copies_of_an_article_are_no_boilerplate(docs):
-    """Exact copies and copies with one other word, of an article below a common first line."""
+def test_exact_copies_count_once(docs):
+    """Sixty rows with one text show their lines once; of other rows each counts."""
     rng = random.Random(3)
-    copied, rows = article(rng, 240), []
-    for k in range(60):
-        words = list(copied)
-        if k % 2:
-            words[rng.randrange(240)] = "other"
-        rows.append((k, "Top of page\n" + lines_of(words), "en", "host"))
+    copied = "Top of page\n" + lines_of(article(rng, 240))
+    rows = [(k, copied, "en", "host") for k in range(60)]
     rows += [(k, "Top of page\n" + lines_of(article(rng)), "en", "host") for k in range(60, 120)]
     got = line_frequency.judge(docs(rows)).collect()
     assert all(r["n_lines_removed"] == 1 and r["kept"] for r in got)
 
 
+@pytest.mark.parametrize("shared,own,kept", [(1, 3, True), (2, 2, True), (3, 1, False), (19, 1, False)])
+def test_boilerplate_of_any_share(docs, shared, own, kept):
+    """A quarter, half, three quarters and nearly all of the text are the host's lines."""
+    rng = random.Random(shared)
+    common = [" ".join(article(rng, 12)) for _ in range(shared)]
+    rows = [(k, "\n".join(rng.sample(common + [" ".join(article(rng, 12)) for _ in range(own)],
+                                     shared + own)), "en", "host") for k in range(300)]
+    rows += [(300 + k, lines_of(article(rng)), "en", "other") for k in range(30)]
+    got = {r["doc_id"]: r for r in line_frequency.judge(docs(rows)).collect()}
+    assert all(got[k]["n_lines_removed"] == shared and got[k]["n_words_removed"] == 12 * shared
+               and got[k]["kept"] == kept for k in range(300))
+    assert all(got[k]["n_lines_removed"] == 0 and got[k]["kept"] for k in range(300, 330))
+
+
 def test_items_edited_at_the_limit_anywhere(docs, spark):
     """As many edits as are allowed: at the head, at the end, evenly, or anywhere, of any kind."""
     rng = random.Random(4)
