@@ -33,6 +33,8 @@ from .common import column, map_batches, remembered
 
 #: Pages that the labels are taken from; pages are chosen by the hash of their id.
 TRAIN_PAGES, LAID_OUT, EPOCHS = 200, 300, 6
+#: Longest page to learn from, in bytes, and longest sentence of the pages laid out anew.
+TRAIN_BYTES, SENTENCE_WORDS = 1 << 20, 40
 PATHS, WORDS, DIM, HIDDEN, COUNTS = 1 << 10, 1 << 12, 12, 16, 6
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)
@@ -242,8 +244,9 @@ class Labeller:
             parts.append(np.add.reduceat(self.w[name][ids], at, axis=0) / n)
         return np.concatenate([*parts, counts], axis=1)
 
-    def _run(self, side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        """States of one direction over x (steps, pages, size), and what training needs."""
+    def _run(self, side: str, x: np.ndarray, mask: np.ndarray,
+             learn: bool = True) -> tuple[np.ndarray, list]:
+        """States of one direction over x (steps, pages, size), and what training needs of it."""
         steps, pages, _ = x.shape
         pre = x @ self.w[side + "x"] + self.w[side + "c"]
         h = np.zeros((pages, HIDDEN), np.float32)
@@ -256,14 +259,15 @@ class Labeller:
             new_c = f * c + i * g
             tanh_c = np.tanh(new_c)
             on = mask[t][:, None]
-            kept.append((t, h, c, i, f, o, g, tanh_c))
+            if learn:
+                kept.append((t, h, c, i, f, o, g, tanh_c))
             c = np.where(on, new_c, c)
             h = np.where(on, o * tanh_c, h)
             states[t] = h
         return states, kept
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        ends = [self._run(side, x, mask)[0] for side in "fb"]
+        ends = [self._run(side, x, mask, learn=False)[0] for side in "fb"]
         return np.concatenate(ends, axis=2) @ self.w["out"] + self.w["bias"]
 
     def gradients(self, feats: tuple, rows: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict:
@@ -441,7 +445,10 @@ def train(pages: list[str], laid: int = LAID_OUT, epochs: int = EPOCHS, seed: in
     rng = random.Random(seed)
     parsed = [blocks_of(p) for p in pages]
     known = [(b, y) for b, y in ((b, label_by_markup(b)) for b in parsed) if any(y)]
-    sentences = [s for b in parsed for x in b for s in re.split(r"(?<=[.!?]) ", x.text)][:20_000]
+    # A text without marks is no sentence: drawn again and again, it would be most of the work.
+    sentences = [" ".join(words[k:k + SENTENCE_WORDS]) for b in parsed for x in b
+                 for words in (s.split(" ") for s in re.split(r"(?<=[.!?]) ", x.text))
+                 for k in range(0, len(words), SENTENCE_WORDS)][:20_000]
     sentences = sentences or ["Nothing to read."]
     model = Labeller(seed)
     model.fit(known + [laid_out(sentences, rng) for _ in range(laid)], epochs)
@@ -457,12 +464,13 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", body: str =
     if model is None:
         # Ids first, so that no task sends pages that are not chosen; then their pages, in the
         # same order. ``train_pages`` of both come to the driver, whatever the table's size.
-        known = base.where("body is not null and page_id is not null")
+        known = base.where("body is not null and page_id is not null").where(
+            F.octet_length("body") <= TRAIN_BYTES)
         chosen = (known.select("page_id", F.xxhash64("page_id").alias("drawn")).distinct()
                   .orderBy("drawn", "page_id").limit(train_pages).collect())
         sample = known.where(F.col("page_id").isin([r["page_id"] for r in chosen])).select(
-            "page_id", "body").limit(train_pages).collect()
-        model = train([r["body"] for r in sorted(sample, key=lambda r: r["page_id"])])
+            "page_id", "body").orderBy("page_id", "body").limit(train_pages).collect()
+        model = train([r["body"] for r in sample])
 
     def work(ids, urls, bodies):
         for k in range(0, len(ids), 512):
