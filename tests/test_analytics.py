@@ -158,12 +158,6 @@ def test_the_sampled_silhouette_always_samples(spark):
     assert some is not None and some != clusters.silhouette_sampled(scaled, "segment", 120).first().silhouette
 
 
-def test_hash_sample_is_exact_in_size(spark):
-    df = customers(spark, 400)
-    assert clusters.hash_sample(df, "customer_id", 100, 400).count() == 100
-    assert clusters.hash_sample(df, "customer_id", 500, 400).count() == 400
-
-
 def test_lookalikes_match_brute_force(spark):
     scaled = clusters.scale_features(customers(spark, 60))
     frame = scaled.toPandas()
