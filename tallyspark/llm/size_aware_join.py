@@ -14,10 +14,15 @@ share at least c(s, t) = ceil(percent * (s + t) / (100 + percent)) shingles.
   a passage in a third of all documents make lists to scan. Any order gives the same links.
 * The boundary is the one with the least cost over the sizes found.
 
-A list with many sets is never paired out. In each round a few leaders of a list are compared
-with its other sets, links merge classes, and the list is done when its remaining sets are
-one class. A group of near copies ends after one round; only sets that share rare shingles
-and yet do not link need more, with sixteen times as many leaders in each.
+Two sets meet in a list only where the shingle stands early enough in both: all they share
+stands at their first common shingle or behind it, so at least c(s, t) places must be left in
+either set. The shingles of a passage in many documents come last, so a copy with more edits than
+may be keeps to the short lists of its own edits. In each round a few leaders of a list, those
+with the fewest shingles of their own, are compared with its other sets; links merge classes, and
+the list is done when its remaining sets are one class. The least edited copy of a group links
+with all that are near enough to meet it, so a group of near copies ends after one round.
+
+Classes are contracted: a round's links join the roots of earlier rounds, no link is read twice.
 
 A candidate that its first shingles do not rule out is checked on the whole texts before it
 counts as a link.
@@ -49,6 +54,10 @@ MAX_LIGHT, POSTING_COST = 40, 8
 #: of such shingles have this many entries at most.
 OFTEN, TABLE = 64, 1 << 16
 
+#: From this key on, shingles are among those met in most documents.
+LAST = np.uint64(2 << 62)
+
+
 def shingles(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, A-Z in lower case."""
     return [distinct(runs_of(w, size)) for w in hash_words(texts)]
@@ -100,7 +109,7 @@ def common_tables(base: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             some = n >= 4
             yield [[kind] * int(some.sum()), found[some].view(np.int64), n[some]]
 
-    rows = stage(map_batches(base.select("body"), count, "kind int, hash long, n long", 16)
+    rows = stage(map_batches(base.select("body"), count, "kind int, hash long, n long", 8)
                  .groupBy("kind", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN),
                  "common")
     return tuple(np.sort(np.array(
@@ -135,14 +144,16 @@ def _heads(common: np.ndarray, often: np.ndarray, size: int, percent: int):
             found = distinct(runs)
             n = len(found)
             if not n:
-                rows.append((doc, 0, None, [], None, None, []))
+                rows.append((doc, 0, None, [], 0, None, None, []))
                 continue
             # Two shingles that share a key only make one more candidate.
-            first = ordered(words, runs, size, common, often)[:prefix(n, percent)]
+            every = ordered(words, runs, size, common, often)
+            own = int(np.searchsorted(every, LAST))
+            first = every[:prefix(n, percent)]
             # The sign bit is turned so that signed numbers have the order of the keys.
             last = int((first[-1:] ^ np.uint64(1 << 63)).view(np.int64)[0])
             rows.append((doc, n, xxhash.xxh3_128_digest(found.tobytes()),
-                         first.view(np.int64).tolist(), last, bitmap(first),
+                         first.view(np.int64).tolist(), own, last, bitmap(first),
                          found.view(np.int64).tolist() if n <= MAX_LIGHT else []))
         yield [list(x) for x in zip(*rows, strict=True)]
     return work
@@ -230,11 +241,31 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
     return ordered.where("a <> b").groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
 
 
-def merged(links: DataFrame) -> DataFrame:
-    """(node, root) of the classes that the links make; empty, without further jobs, for none."""
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) of the classes ``roots`` after these links as well; nodes without a link are
+    not listed. Only the new links and the roots they join are gone through."""
     if links.isEmpty():
-        return links.sparkSession.createDataFrame([], "node long, root long")
-    return components(links)
+        return links.sparkSession.createDataFrame([], "node long, root long") if (
+            roots is None) else roots
+    if roots is None:
+        return components(links)
+    ends = {side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+            for side in "ab"}
+    joined = links.join(ends["a"], "a", "left").join(ends["b"], "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    # A root of earlier rounds, or a node that had no link, and its root from now on.
+    after = components(joined).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = roots.join(after, F.col("root") == F.col("old"), "left").select(
+        "node", F.coalesce("new", "root").alias("root"))
+    added = after.join(roots, F.col("old") == F.col("node"), "left_anti").select(
+        F.col("old").alias("node"), F.col("new").alias("root"))
+    return stage(moved.unionByName(added), "roots")
+
+
+def enough(percent: int) -> Column:
+    """Whether a list's shingle stands early enough in both of its sets."""
+    c = F.expr(f"((n + n2) * {percent} + {99 + percent}) div {100 + percent}")
+    return (F.col("n") - F.col("pos") >= c) & (F.col("n2") - F.col("pos2") >= c)
 
 
 def join_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3,
@@ -245,7 +276,8 @@ def join_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     common, often = common_tables(base, size)
     heads = stage(map_batches(
         base, _heads(common, often, size, percent),
-        "doc_id long, n long, key binary, first array<long>, last long, bits array<long>, "
+        "doc_id long, n long, key binary, first array<long>, own int, last long, "
+        "bits array<long>, "
         "all array<long>"), "heads")
     sets = heads.where("n > 0 and doc_id is not null")
     classes = stage(sets.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
@@ -256,7 +288,8 @@ def join_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     x = boundary({r["n"]: r["count"] for r in rows}, percent)
     lowest = -(-percent * (x + 1) // 100)
     postings = chosen.where(F.col("n") >= lowest).select(
-        F.explode("first").alias("shingle"), "rep", F.col("n").cast("int").alias("n"))
+        F.posexplode("first").alias("pos", "shingle"), "rep", F.col("n").cast("int").alias("n"),
+        "own")
     shared = postings.groupBy("shingle").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     lists = stage(postings.join(shared.where("lo < hi").select("shingle"), "shingle")
                   .withColumn("root", F.col("rep")), "lists")
@@ -274,10 +307,10 @@ def join_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
         "rep long, body binary"), "texts")
     checked, leaders = pairs, 1
     links = stage(check_pairs(pairs, texts, size, percent), "links")
-    roots = merged(links)
+    roots = merged(None, links)
     while True:
-        # Lists whose sets are not yet one class, each with its leaders: the least set of each
-        # slice. All their pairs are tried in this round, so leaders leave the list after it.
+        # Lists whose sets are not yet one class, each with its leaders: of each slice the set with
+        # the fewest shingles of its own. All their pairs are tried, so they leave the list.
         named = lists.drop("root").join(
             roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
             "root", F.coalesce("root", "rep"))
@@ -286,20 +319,19 @@ def join_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
         if lists.isEmpty():
             break
         sliced = lists.withColumn("slice", F.pmod(F.xxhash64("rep", "shingle"), F.lit(leaders)))
-        lead = sliced.groupBy("shingle", "slice").agg(F.min("rep").alias("rep")).drop("slice")
+        lead = sliced.groupBy("shingle", "slice").agg(F.min(F.struct("own", "rep")).alias(
+            "least")).select("shingle", F.col("least.rep").alias("rep"))
         second = lists.join(lead, ["shingle", "rep"]).select(
-            "shingle", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "root")))
+            "shingle", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "pos", "root")))
         tried = lists.join(second, "shingle").where(
-            (F.col("root") != F.col("root2"))
+            (F.col("root") != F.col("root2")) & enough(percent)
             & (F.greatest("n", "n2") * percent <= F.least("n", "n2") * 100))
         new = distinct_pairs(tried.select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
         new = possible_pairs(new, facts, percent)
         new = stage(new.join(checked, ["a", "b"], "left_anti"), "pairs")
         found = stage(check_pairs(new, texts, size, percent), "links")
         checked = checked.unionByName(new)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = merged(links)
+        roots = merged(roots, found)
         lists = lists.join(lead, ["shingle", "rep"], "left_anti")
         leaders *= 16
     # Set -> class -> component; a hot class is many rows of a join.

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyspark.llm import decontaminate, html_blocks, line_frequency, pseudonyms
+from tallyspark.llm import decontaminate, html_blocks, line_frequency, pseudonyms, size_aware_join
 
 
 def article(rng, n=60):
@@ -48,6 +48,36 @@ def test_boilerplate_of_any_share(docs, shared, own, kept):
     assert all(got[k]["n_lines_removed"] == 0 and got[k]["kept"] for k in range(300, 330))
 
 
+@pytest.mark.parametrize("edits,most", [(3, 2), (1, 3)])
+def test_pairs_grow_with_the_group(docs, monkeypatch, edits, most):
+    """Copies of one text with a few other words each: too many for any two to link, or few
+    enough to link with the text. The pairs that are read in full grow like the group."""
+    check, read = size_aware_join.check_pairs, []
+    monkeypatch.setattr(size_aware_join, "check_pairs", lambda pairs, *rest: (
+        read.append(pairs.count()), check(pairs, *rest))[1])
+    for n in (150, 300):
+        rng = random.Random(n)
+        text, rows = article(rng, 100), []
+        for k in range(n):
+            words = list(text)
+            for at in rng.sample(range(2, 98), edits if k else 0):
+                words[at] = f"x{rng.randrange(10**6)}"
+            rows.append((k, " ".join(words)))
+        read.clear()
+        got = size_aware_join.join_classes(docs(rows)).collect()
+        sets = {k: set(zip(w, w[1:], w[2:])) for k, w in ((k, t.split()) for k, t in rows)}
+        near = {a: {b for b in sets if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+                for a in sets}
+        for r in got:
+            seen, todo = {r["doc_id"]}, [r["doc_id"]]
+            while todo:
+                new = near[todo.pop()] - seen
+                seen |= new
+                todo += new
+            assert r["component_id"] == min(seen)
+        assert sum(read) <= most * n
+
+
 def test_items_edited_at_the_limit_anywhere(docs, spark):
     """As many edits as are allowed: at the head, at the end, evenly, or anywhere, of any kind."""
     rng = random.Random(4)
