@@ -238,6 +238,16 @@ ORACLE.update({
                price AS unit_price, quantity * price AS line_value,
                product || CASE WHEN order_status = 'O' THEN chr(10) || 'second line' ELSE '' END AS product,
                '' AS country FROM p WHERE quantity > 0 AND price > 0""",
+    "export_quoted": f"""WITH {LINES_TPCH_ALL}, p AS (SELECT *, {_LIST_PRICE} AS price FROM all_lines)
+        SELECT customer_id, order_id, strftime(order_date, '%Y-%m-%d') AS order_day, quantity,
+               price AS unit_price, quantity * price AS line_value,
+               '27" of ' || product || ',' || chr(10) || '"second"' || chr(10) || chr(10)
+               || ', line' AS product, '' AS country FROM p WHERE quantity > 0 AND price > 0""",
+    "export_repeated_header": f"""WITH {LINES_TPCH_ALL}, p AS (SELECT *, {_LIST_PRICE} AS price FROM all_lines),
+        r AS (SELECT CASE WHEN NOT quantity > 0 THEN 'cancellations / returns'
+                          WHEN NOT price > 0 THEN 'non-positive price' ELSE 'kept' END AS reason FROM p
+              UNION ALL SELECT 'unparseable date' FROM orders WHERE o_orderkey % 1000 < 4)
+        SELECT reason, count(*) AS rows FROM r GROUP BY 1""",
     "export_dialects": """
         SELECT 'semicolon' AS folder, 'cp1250' AS encoding, ';' AS delimiter, FALSE AS multiline,
                CAST(0 AS INTEGER) AS skipped_rows, 'zákazník|datum|celkem|event_type' AS header

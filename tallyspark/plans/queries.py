@@ -341,6 +341,40 @@ def export_folder(spark, sf):
     return _canonical_rows(kept(load_exports(spark, path)))
 
 
+@query
+def export_quoted(spark, sf):
+    """Line items whose products hold line breaks, separators and quotes, written as quoted text
+    and read back in splits."""
+    path = stage_path(spark, "quoted")
+    lines = lines_tpch(spark, sf, returns=True)
+    lines.select(
+        F.col("customer_id").alias("customer"), F.col("order_id").alias("order no"),
+        F.date_format("order_date", "yyyy-MM-dd").alias("date"),
+        F.concat(F.lit('27" of '), "product", F.lit(',\n"second"\n\n, line')).alias("item"),
+        F.col("quantity").cast("long").cast("string").alias("qty"),
+        _cents_text(F.col("unit_price"), ".").alias("price")).write.csv(
+            path, header=True, escape='"', quoteAll=True)
+    return _canonical_rows(kept(load_exports(spark, path)))
+
+
+@query
+def export_repeated_header(spark, sf):
+    """The ingest report of exports in which every thousandth order repeats the header: only a
+    file's first header is left out, the others are rows with a reason."""
+    path = stage_path(spark, "repeated")
+    lines = lines_tpch(spark, sf, returns=True)
+    names = ["customer", "order no", "date", "qty", "price"]
+    rows = lines.select(
+        F.col("customer_id").alias(names[0]), F.col("order_id").alias(names[1]),
+        F.date_format("order_date", "yyyy-MM-dd").alias(names[2]),
+        F.col("quantity").cast("long").cast("string").alias(names[3]),
+        _cents_text(F.col("unit_price"), ".").alias(names[4]))
+    again = table(spark, sf, "orders").where("o_orderkey % 1000 < 4").select(
+        *[F.lit(n).alias(n) for n in names])
+    rows.unionByName(again).write.csv(path, header=True)
+    return ingest_report(load_exports(spark, path))
+
+
 @query
 def export_dialects(spark, sf):
     """What the dialect profile says about events written in three ways."""

@@ -28,7 +28,10 @@ REASON_NONPOSITIVE = "non-positive price"
 REASON_SHOP_MISSING = "missing customer / date / value"
 REASON_SHOP_STRUCTURAL = "billing / shipping lines"
 REASON_SHOP_STATUS = "cancelled / returned / failed"
-SUSPICIOUS_REASONS = [REASON_DATE, REASON_PRICE, REASON_CUSTOMER, REASON_SHOP_MISSING]
+# Our own reason: lines of a text file behind a quote that no line closes.
+REASON_QUOTE = "behind an open quote"
+SUSPICIOUS_REASONS = [REASON_DATE, REASON_PRICE, REASON_CUSTOMER, REASON_SHOP_MISSING,
+                      REASON_QUOTE]
 
 # Columns the clustering and lookalike operators run on; all but recency are log-damped.
 MODEL_FEATURES = ["recency", "frequency", "monetary",

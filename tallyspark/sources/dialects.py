@@ -6,12 +6,15 @@ aggregation over every line; delimiter and header come from each file's first li
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Delimiters an export may use.
 DELIMITERS = ",|;\t"
-HEAD_LINES = 50
+# Lines that tell the delimiter, and lines among which a header is looked for.
 SNIFF_LINES = 20
 HEADER_WITHIN = 30
 
@@ -20,6 +23,9 @@ _HIGH = bytes(range(0x80, 0x100))
 _UNDEFINED = [chr(b) for b in _HIGH if not bytes([b]).decode("cp1250", "ignore")]
 _DEFINED = "".join(chr(b) for b in _HIGH if chr(b) not in _UNDEFINED)
 _CP1250 = "".join(bytes([ord(c)]).decode("cp1250") for c in _DEFINED)
+_FILLED = re.compile(r'[^\s,;|"]')
+_HEADS = pa.schema([("file", pa.string()), ("rank", pa.int32()), ("raw", pa.string()),
+                    ("empty", pa.int32())])
 
 
 def cp1250_from_latin1(text: Column) -> Column:
@@ -56,19 +62,33 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
                  .otherwise("cp1250").alias("encoding"), "multiline"))
 
 
-def head_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rank, raw): the first non-blank lines of each file, as single-byte text.
+def head_lines(spark: SparkSession, path: str, most: int = HEADER_WITHIN + 1) -> DataFrame:
+    """(file, rank, raw, empty): the first ``most`` non-blank lines of each file, as single-byte
+    text, and how many lines of separators alone stand above.
 
-    Lines of a file's first block come in file order within one task; the rank limit is
-    applied there, before anything is shuffled.
+    Lines of a file's first block come in file order, so each task passes on no more than the
+    first of them, without sorting the block.
     """
-    first = (_lines(spark, path).where(F.col("block_start") == 0)
-             .select("file", _latin1(F.col("value")).alias("raw"),
-                     F.monotonically_increasing_id().alias("at"))
-             .where(F.col("raw").rlike(r'[^\s,;|"]')))
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("at"))
-    return (first.withColumn("rank", rank).where(F.col("rank") <= HEAD_LINES)
-            .select("file", "rank", "raw"))
+    first = _lines(spark, path).where(F.col("block_start") == 0).select(
+        "file", _latin1(F.col("value")).alias("raw"))
+
+    def run(batches):
+        file, rank, empty = None, 0, 0
+        for batch in batches:
+            out = []
+            for name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != file:
+                    file, rank, empty = name, 0, 0
+                if rank >= most:
+                    continue
+                if _FILLED.search(raw):
+                    rank += 1
+                    out.append({"file": name, "rank": rank, "raw": raw, "empty": empty})
+                elif raw.strip():
+                    empty += 1
+            yield pa.RecordBatch.from_pylist(out, schema=_HEADS)
+
+    return first.mapInArrow(run, "file string, rank int, raw string, empty int")
 
 
 def decoded(raw: Column, encoding: Column) -> Column:
@@ -132,10 +152,10 @@ def repaired_names(headers: DataFrame) -> DataFrame:
 
 def dialect_profile(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file below ``path``: encoding, quoting, delimiter, header row and
-    column names. ``preamble`` holds the title lines and the header, cells unquoted."""
+    column names; ``plain`` where the header is the first line that is not empty."""
     facts = file_facts(spark, path)
     heads = head_lines(spark, path).join(facts.select("file", "encoding"), "file").select(
-        "file", "rank", decoded(F.col("raw"), F.col("encoding")).alias("line"))
+        "file", "rank", "empty", decoded(F.col("raw"), F.col("encoding")).alias("line"))
     heads = heads.join(delimiters(heads), "file", "left").withColumn(
         "delimiter", F.coalesce("delimiter", F.lit(",")))
     split = F.when(F.lit(False), F.array(F.col("line")))
@@ -147,11 +167,10 @@ def dialect_profile(spark: SparkSession, path: str) -> DataFrame:
     heads = heads.withColumn("cells", cells)
     marked = heads.join(header_rows(heads), "file")
     names = repaired_names(marked.where("rank = at").select("file", "cells"))
-    above = F.array_sort(F.collect_list(F.when(F.col("rank") <= F.col("at"), F.struct(
-        "rank", F.expr("array_join(cells, delimiter)").alias("text")))))
     rows = marked.groupBy("file").agg(
         F.first("delimiter").alias("delimiter"), (F.first("at") - 1).cast("int").alias("skipped_rows"),
-        above["text"].alias("preamble"), (F.count(F.lit(1)) > 1).alias("has_data"))
+        (F.max(F.when(F.col("rank") == F.col("at"), F.col("empty") + F.col("at"))) == 1).alias("plain"),
+        (F.count(F.lit(1)) > 1).alias("has_data"))
     return facts.join(rows, "file").join(names, "file").select(
-        "file", "encoding", "multiline", "delimiter", "skipped_rows", "columns", "preamble",
+        "file", "encoding", "multiline", "delimiter", "skipped_rows", "columns", "plain",
         "has_data")

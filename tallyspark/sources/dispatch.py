@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import UnusableInput
-from ..operators.canonical import canonicalize, require_columns
+from ..operators.canonical import REASON, canonicalize, require_columns
 from ..operators.header_mapping import (
     column_evidence, map_headers, missing_required, table_cells)
+from ..schema import REASON_QUOTE
 from .delimited import read_tables
 from .order_json import ORDER_MAPPING, read_order_pages
 from .partner_shop import read_partner_shop
@@ -23,7 +24,7 @@ KINDS = ("file", "sql", "json", "sample", "partner")
 def _mapped(spark: SparkSession, tables: list) -> DataFrame:
     """(table, canonical, header) of the headers of all dialects."""
     return map_headers(spark.createDataFrame(
-        [(str(i), at, name) for i, (dialect, _) in enumerate(tables)
+        [(str(i), at, name) for i, (dialect, _, _) in enumerate(tables)
          for at, name in enumerate(dialect.columns)],
         "table string, position int, header string"))
 
@@ -49,11 +50,11 @@ def describe_exports(spark: SparkSession, path: str) -> DataFrame:
     mapped = _mapped(spark, tables)
     chosen = _chosen(mapped)
     known = [(str(i), d.delimiter, d.encoding, chosen.get(str(i), {}))
-             for i, (d, _) in enumerate(tables)]
+             for i, (d, _, _) in enumerate(tables)]
     facts = spark.createDataFrame(
         known, "table string, delimiter string, encoding string, mapping map<string,string>")
     numbers, texts = [], []
-    for i, (dialect, table) in enumerate(tables):
+    for i, (dialect, table, _) in enumerate(tables):
         mark = F.lit(dialect.delimiter)
         numbers.append(column_evidence(
             _number_cells(table, str(i), chosen.get(str(i), {})), delimiter=mark))
@@ -70,18 +71,22 @@ def load_exports(spark: SparkSession, path: str, mapping: dict[str, str] | None
 
     What the caller leaves open is inferred per dialect: columns from the header names, the
     number format from the cells of the columns for quantity and money. Files are grouped by
-    dialect, so there are as many parts as dialects.
+    dialect, so there are as many parts as dialects. Lines behind a quote that nothing closes
+    are rows without values, with their own reason.
     """
     tables = read_tables(spark, path)
     inferred = _chosen(_mapped(spark, tables))
     parts = []
-    for i, (dialect, table) in enumerate(tables):
+    for i, (dialect, table, lost) in enumerate(tables):
         chosen = {**inferred.get(str(i), {}), **(mapping or {})}
         require_columns([c for c, h in chosen.items() if h in dialect.columns])
         mark = decimal or (column_evidence(_number_cells(table, "t", chosen),
                                            delimiter=F.lit(dialect.delimiter))
                            .first().decimal)
         parts.append(canonicalize(table, chosen, mark))
+        if lost is not None:
+            parts.append(lost.select(F.explode(F.sequence(F.lit(1), F.col("lines").cast("int"))))
+                         .select(F.lit(REASON_QUOTE).alias(REASON)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
