@@ -1,22 +1,26 @@
 """Exact order statistics of large columns.
 
 A global sort, an unpartitioned window or ``percentile`` would bring a whole column into
-one task. Here a mergeable sketch first brackets each wanted rank, one counting pass proves
-that the bracket holds it, and only the distinct values inside the brackets are ranked. The
-result is exact. The ranking task sees the values within about ``2 * slack`` of the rows
-(0.02 % by default); ties collapse before the shuffle.
+one task. Here each wanted rank is enclosed step by step: a mergeable sketch of the values still
+in question gives two of them close to the rank, and a counting pass tells on which side of them,
+between them, or at which of them the rank lies. Between two such values lie about ``2 * SLACK``
+of the rows (one in five thousand), their ties left out, so few steps are enough at any size and
+for any distribution. Once at most ``RANKED`` rows are left they are sorted, so the last step is
+the same small task whatever the table. The result is exact; a poor sketch only costs a step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 20_000
-_LOWEST, _HIGHEST = float("-inf"), float("inf")
+SLACK = 2.0 / ACCURACY
+#: Rows around a rank that are sorted in one task.
+RANKED = 100_000
 
 
 @dataclass(frozen=True)
@@ -38,88 +42,106 @@ class Found:
     n: int
 
 
-def find_ranks(df: DataFrame, wanted: list[Wanted]) -> list[Found]:
+@dataclass(frozen=True)
+class _Span:
+    """Values strictly between two others: how many rows lie at or below its lower bound, and
+    how many inside; ``rank`` is the wanted one among all rows."""
+
+    rank: int
+    below: int
+    inside: int
+    low: float | None = None
+    high: float | None = None
+    stuck: bool = False
+
+    def edges(self, column: str) -> Column:
+        """Two values close to the rank; where a sketch was of no use, the least and the mean."""
+        value = F.when(self.holds(F.col(column)), F.col(column))
+        if self.stuck:
+            return F.array(F.min(value), F.greatest(F.min(value), F.avg(value)))
+        near = (self.rank - self.below) / self.inside
+        return F.percentile_approx(
+            value, [min(1.0, max(0.0, near + d)) for d in (-SLACK, SLACK)], ACCURACY)
+
+    def holds(self, value: Column) -> Column:
+        test = value.isNotNull()
+        if self.low is not None:
+            test = test & (value > F.lit(self.low))
+        return test if self.high is None else test & (value < F.lit(self.high))
+
+
+def find_ranks(df: DataFrame, wanted: list[Wanted], ranked: int = RANKED) -> list[Found]:
     """Locate every wanted rank among the non-null values; columns must be numeric."""
     columns = list(dict.fromkeys(w.column for w in wanted))
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    found: dict[Wanted, Found] = {}
-    open_, slack = list(wanted), 2.0 / ACCURACY
-    while open_:
-        size, bracket = _brackets(values, open_, slack)
-        for w in open_:
-            if not size[w.column]:
-                found[w] = Found(None, 0, 0, 0)
-        sought = [w for w in open_ if size[w.column]]
-        if sought:
-            _settle(values, sought, size, bracket, found)
-        # Whatever its bracket did not hold is looked for again in a wider one.
-        open_, slack = [w for w in sought if w not in found], slack * 10
+    row = values.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    size = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    found = {w: Found(None, 0, 0, 0) for w in wanted if not size[w.column]}
+    spans = {w: _Span(w.rank(size[w.column]), 0, size[w.column])
+             for w in wanted if size[w.column]}
+    while wide := {w: s for w, s in spans.items() if s.inside > ranked}:
+        for w, (span, hit) in _narrowed(values, wide, size).items():
+            spans[w] = span
+            if hit:
+                found[w] = hit
+                del spans[w]
+    if spans:
+        found.update(_rank_inside(values, spans, size))
     return [found[w] for w in wanted]
 
 
-def _brackets(values, wanted, slack):
-    """Rows per column, and for every wanted rank two values that should enclose it."""
-    columns = list(dict.fromkeys(w.column for w in wanted))
-    asked = {c: [w for w in wanted if w.column == c] for c in columns}
-    row = values.agg(*[
-        agg for i, c in enumerate(columns) for agg in (
-            F.count(c).alias(f"n{i}"),
-            F.percentile_approx(
-                c,
-                [edge for w in asked[c]
-                 for edge in (max(0.0, w.fraction - slack), min(1.0, w.fraction + slack))],
-                ACCURACY).alias(f"edges{i}"))
-    ]).first()
-    size = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    bracket = {}
-    for i, c in enumerate(columns):
-        for j, w in enumerate(asked[c]):
-            if slack >= 1:
-                bracket[w] = (_LOWEST, _HIGHEST)
-            elif size[c]:
-                bracket[w] = (row[f"edges{i}"][2 * j], row[f"edges{i}"][2 * j + 1])
-    return size, bracket
-
-
-def _settle(values, sought, size, bracket, found):
-    """Count around the brackets; record every rank that provably lies in its own."""
+def _narrowed(values: DataFrame, spans: dict, size: dict) -> dict:
+    """Each span cut at two values near its rank, or the rank itself where it is one of them."""
+    order = list(spans)
+    edges = values.agg(*[s.edges(w.column).alias(f"e{t}")
+                         for t, (w, s) in enumerate(spans.items())]).first()
     counts = values.agg(*[
-        agg for t, w in enumerate(sought) for agg in (
-            F.count_if(F.col(w.column) < bracket[w][0]).alias(f"below{t}"),
-            F.count_if(F.col(w.column) == bracket[w][0]).alias(f"at{t}"),
-            F.count_if(F.col(w.column) <= bracket[w][1]).alias(f"upto{t}"))
-    ]).first()
-    ranked = []
-    for t, w in enumerate(sought):
-        k = w.rank(size[w.column])
-        below, at, upto = counts[f"below{t}"], counts[f"at{t}"], counts[f"upto{t}"]
-        if below < k <= below + at:
-            found[w] = Found(bracket[w][0], below, at, size[w.column])
-        elif below < k <= upto:
-            ranked.append((w, k, below))
-    if ranked:
-        found.update(_rank_inside(values, ranked, bracket, size))
-
-
-def _rank_inside(values, ranked, bracket, size):
+        F.count_if(s.holds(F.col(w.column)) & test).alias(f"{name}{side}_{t}")
+        for t, (w, s) in enumerate(spans.items()) for side in (0, 1)
+        for name, test in (("less", F.col(w.column) < F.lit(edges[t][side])),
+                           ("same", F.col(w.column) == F.lit(edges[t][side])))]).first()
+    out = {}
+    for t, w in enumerate(order):
+        s, (low, high) = spans[w], edges[t]
+        less, same = ([counts[f"{name}{side}_{t}"] for side in (0, 1)]
+                      for name in ("less", "same"))
+        k, hit = s.rank - s.below, None
+        # Values of a poor sketch may lie outside the span; it never grows.
+        above = [x if s.low is None else max(x, s.low) for x in (low, high)]
+        upto = [x if s.high is None else min(x, s.high) for x in (low, high)]
+        if k <= less[0]:
+            s = replace(s, high=upto[0], inside=less[0])
+        elif k <= less[0] + same[0]:
+            hit = Found(low, s.below + less[0], same[0], size[w.column])
+        elif k <= less[1]:
+            s = replace(s, low=above[0], high=upto[1], below=s.below + less[0] + same[0],
+                        inside=less[1] - less[0] - same[0])
+        elif k <= less[1] + same[1]:
+            hit = Found(high, s.below + less[1], same[1], size[w.column])
+        else:
+            s = replace(s, low=above[1], below=s.below + less[1] + same[1],
+                        inside=s.inside - less[1] - same[1])
+        out[w] = replace(s, stuck=s.inside == spans[w].inside), hit
+    return out
+
+
+def _rank_inside(values: DataFrame, spans: dict, size: dict) -> dict:
+    """Ranks among the distinct values of their spans, which are bounded in rows."""
+    order = list(spans)
     tags = F.array(*[
-        F.when(F.col(w.column).between(*bracket[w]),
-               F.struct(F.lit(t).alias("tag"), F.col(w.column).alias("v")))
-        for t, (w, _, _) in enumerate(ranked)])
+        F.when(spans[w].holds(F.col(w.column)), F.struct(
+            F.lit(t).alias("tag"), F.col(w.column).alias("v"))) for t, w in enumerate(order)])
     inside = (values.select(F.explode(F.array_compact(tags)).alias("x"))
               .groupBy(F.col("x.tag").alias("tag"), F.col("x.v").alias("v"))
               .agg(F.count(F.lit(1)).alias("equal")))
     upto = F.sum("equal").over(Window.partitionBy("tag").orderBy("v"))
-    goal = F.element_at(F.array(*[F.lit(k - below) for _, k, below in ranked]),
+    goal = F.element_at(F.array(*[F.lit(spans[w].rank - spans[w].below) for w in order]),
                         F.col("tag") + 1)
     hits = (inside.withColumn("upto", upto)
             .where((F.col("upto") >= goal) & (F.col("upto") - F.col("equal") < goal))
             .collect())
-    return {
-        ranked[h.tag][0]: Found(h.v, ranked[h.tag][2] + h.upto - h.equal, h.equal,
-                                size[ranked[h.tag][0].column])
-        for h in hits
-    }
+    return {order[h.tag]: Found(h.v, spans[order[h.tag]].below + h.upto - h.equal, h.equal,
+                                size[order[h.tag].column]) for h in hits}
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:

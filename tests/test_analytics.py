@@ -61,10 +61,38 @@ def test_ranks_survive_a_wrong_sketch(spark, monkeypatch):
     monkeypatch.setattr(order_stats.F, "percentile_approx",
                         lambda c, edges, accuracy: F.array(*[F.max(F.lit(3.0)) for _ in edges]))
     found = find_ranks(numbers(spark, values), [Wanted("v", 0.5, lambda n: 500),
-                                                Wanted("v", 0.0, lambda n: 1)])
+                                                Wanted("v", 0.0, lambda n: 1)], ranked=50)
     assert [(f.value, f.below, f.equal) for f in found] == [(499.0, 499, 1), (0.0, 0, 1)]
 
 
+@pytest.mark.parametrize("shape", ["even", "steep", "two_values", "mostly_one", "signed_steep"])
+def test_the_last_step_stays_small(spark, monkeypatch, shape):
+    """However the values lie, and ten times as many of them: no more rows than the bound are
+    ranked, and the rank is exact."""
+    rng = random.Random(9)
+    one = {"even": [rng.random() for _ in range(900)],
+           "steep": [10.0 ** (k % 600 - 300) for k in range(900)],
+           "two_values": [rng.choice([1.0, 2.0]) for _ in range(900)],
+           "mostly_one": [7.0] * 700 + [7.0 + rng.random() for _ in range(200)],
+           "signed_steep": [rng.choice([-1, 1]) * 2.0 ** rng.randrange(-900, 900)
+                            for _ in range(900)]}[shape]
+    settle, inside = order_stats._rank_inside, []
+    monkeypatch.setattr(order_stats, "_rank_inside", lambda values, spans, size: (
+        inside.extend(s.inside for s in spans.values()), settle(values, spans, size))[1])
+    for times in (1, 10):
+        data = sorted(one * times)
+        n = len(data)
+        wanted = [Wanted("v", f, lambda n, f=f: max(1, round(f * n))) for f in (0, 0.2, 0.5, 0.99, 1)]
+        df = spark.createDataFrame([(v,) for v in one], "v double").join(
+            spark.range(times).select(F.lit(1).alias("one")), how="cross").repartition(4)
+        got = find_ranks(df, wanted, ranked=40)
+        for w, f in zip(wanted, got):
+            value = data[w.rank(n) - 1]
+            assert (f.value, f.below, f.equal, f.n) == (
+                value, sum(x < value for x in data), data.count(value), n)
+    assert max(inside, default=0) <= 40
+
+
 def test_medians(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, 5.0), (4.0, None), (9.0, 7.0)], "a double, b double")
     assert medians(df, ["a", "b"]) == {"a": 3.0, "b": 6.0}
