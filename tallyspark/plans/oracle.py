@@ -504,6 +504,13 @@ ORACLE.update({
         target AS (SELECT * FROM unit WHERE customer_id = (SELECT min(customer_id) FROM unit))
         SELECT {_NEAR} FROM unit CROSS JOIN target WHERE unit.customer_id <> target.customer_id
         ORDER BY {_DOT} DESC, unit.customer_id LIMIT 8""",
+    "lookalikes_many": f"""WITH {LINES_TPCH}{SCORED}{UNIT},
+        target AS (SELECT * FROM unit WHERE segment = 'Champions'),
+        near AS (SELECT target.customer_id AS anchor_id, unit.customer_id AS customer_id, {_DOT} AS dot
+                 FROM unit JOIN target ON unit.customer_id <> target.customer_id),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY dot DESC, customer_id) AS place FROM near)
+        SELECT anchor_id, CAST(place AS INTEGER) AS place, customer_id, round_even(dot, 3) AS similarity
+        FROM placed WHERE place <= 8""",
     "segment_expansion": f"WITH {LINES_TPCH}{SCORED}{EXPANDED} SELECT * FROM prospects",
     "seed_segment": f"""WITH {LINES_TPCH}{PROFILE} SELECT coalesce(max(segment) FILTER (WHERE segment = 'Champions'),
         arg_max(segment, (rev_share_pct, -position))) AS seed FROM profile""",

@@ -13,7 +13,7 @@ from ..functions.numbers import locale_number
 from ..functions.text import (
     category_from_text, category_label, content_language, currency_symbol)
 from ..operators import (
-    audience, calendar, campaigns, clusters, factors, history, products, quality)
+    audience, calendar, campaigns, clusters, factors, history, nearest, products, quality)
 from ..operators import features as feat
 from ..operators import lookalikes as similar
 from ..operators import segments as seg
@@ -637,6 +637,13 @@ def lookalikes(spark, sf):
     return similar.lookalikes(scaled, anchor)
 
 
+@query
+def lookalikes_many(spark, sf):
+    """The eight customers closest to each Champion, among all customers."""
+    scaled = stage(scaled_tpch(spark, sf), "scaled")
+    return nearest.lookalikes_many(scaled, scaled.where("segment = 'Champions'"))
+
+
 @query
 def segment_expansion(spark, sf):
     return similar.expand_segment(scaled_tpch(spark, sf), "Champions")
