@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.money import amount, half_even, sum_units
 from ..functions.text import category_from_word, category_label, telling_word
 from ..schema import CATALOG_COLUMNS
+from ..session import stage
 from .canonical import compute_once
+from .hot_join import hot_join
+
+#: Products of a catalog that is sent to every task, at a few hundred bytes each.
+SENT = 100_000
 
 
 def with_category(lines: DataFrame, carried: list[str]) -> DataFrame:
@@ -63,16 +68,20 @@ def one_row_per_product(catalog: DataFrame) -> DataFrame:
 def enrich(lines: DataFrame, catalog: DataFrame | None, key: str = "product") -> DataFrame:
     """Left join of the catalog columns on the product id; no catalog, no change.
 
-    Whether the catalog is broadcast is left to its measured size; a product that holds a
-    large share of the lines is split by adaptive skew handling when it is not.
+    A catalog of at most ``SENT`` products is sent to every task, so the lines stay where they
+    are. With a larger one both sides are shuffled, and a product that holds a large share of
+    the lines is salted, whatever the session's settings.
     """
     if catalog is None or key not in lines.columns:
         return lines
     have = [c for c in CATALOG_COLUMNS if c in catalog.columns]
     if not have:
         return lines
-    single = one_row_per_product(catalog).select(F.col("product_id").alias(key), *have)
-    return lines.join(single, key, "left")
+    single = stage(one_row_per_product(catalog).select(
+        F.col("product_id").alias(key), *have), "catalog")
+    if single.limit(SENT + 1).count() <= SENT:
+        return lines.join(F.broadcast(single), key, "left")
+    return hot_join(lines, single, [key], "left")
 
 
 def missing_products(lines: DataFrame, catalog: DataFrame | None,

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..errors import UnusableInput
 from ..functions.dates import whole_days
-from ..functions.money import amount, grand_total, half_even, sum_units
+from ..functions.money import amount, grand_total, half_even
 from ..functions.order_stats import median
 from ..schema import SUSPICIOUS_REASONS
+from ..session import stage
+from .features import COUNTRY, ORDER, cells_of, lattice
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
@@ -20,27 +22,28 @@ def one_row(*parts: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
-def order_totals(lines: DataFrame) -> DataFrame:
-    """(order_id, rows, units, first, last) per order."""
-    return lines.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("rows"),
-        sum_units(F.col("line_value")).alias("units"),
-        F.min("order_date").alias("first"),
-        F.max("order_date").alias("last"))
+def order_totals(cells: DataFrame) -> DataFrame:
+    """(order_id, rows, units, first, last) per order, from the order cells of a lattice."""
+    return cells_of(cells, ORDER).groupBy(F.col("key").alias("order_id")).agg(
+        F.sum("rows").alias("rows"),
+        F.sum("value_units").alias("units"),
+        F.min("first_line").alias("first"),
+        F.max("last_line").alias("last"))
 
 
-def distinct_values(lines: DataFrame, column: str, name: str) -> DataFrame:
-    """One row with the exact number of distinct non-null values."""
-    return lines.select(column).distinct().agg(F.count(column).alias(name))
+def distinct_customers(cells: DataFrame) -> DataFrame:
+    return cells_of(cells, ORDER).select("customer_id").distinct().agg(
+        F.count("customer_id").alias("customers"))
 
 
-def summary(lines: DataFrame) -> DataFrame:
+def summary(lines: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Rows, customers, orders, countries, date range, revenue and mean order value.
 
-    Three narrow aggregations instead of one with several distinct counts, which would
-    send every line three times through the shuffle.
+    Read off the lattice of the lines (``cells`` where there is one already), so they are gone
+    through once, and no aggregation has several distinct counts.
     """
-    orders = order_totals(lines).agg(
+    cells = lattice(lines, (ORDER, COUNTRY)) if cells is None else cells
+    orders = order_totals(cells).agg(
         F.sum("rows").alias("rows"),
         F.count("order_id").alias("orders"),
         F.date_format(F.min("first"), "yyyy-MM-dd").alias("date_from"),
@@ -48,9 +51,9 @@ def summary(lines: DataFrame) -> DataFrame:
         half_even(grand_total(F.col("units")), 2).alias("revenue"),
         half_even(grand_total(F.col("units")) / F.count("order_id"), 2)
         .alias("avg_order_value"))
-    return one_row(orders,
-                   distinct_values(lines, "customer_id", "customers"),
-                   distinct_values(lines, "country", "countries"))
+    countries = cells_of(cells, COUNTRY).select("key").distinct().agg(
+        F.count("key").alias("countries"))
+    return one_row(orders, distinct_customers(cells), countries)
 
 
 def require_customers(summary_row) -> None:
@@ -83,13 +86,17 @@ def suspicious_share(report: DataFrame) -> DataFrame:
                       .alias("suspicious_share"))
 
 
-def quality_inputs(lines: DataFrame, report: DataFrame | None = None) -> DataFrame:
-    """One row (span_days, median_order, customers, suspicious_share)."""
-    totals = order_totals(lines)
-    middle = median(totals.select(amount(F.col("units")).alias("v")), "v")
-    span = lines.agg(whole_days(F.max("order_date"), F.min("order_date")).alias("span_days"),
-                     F.lit(middle).cast("double").alias("median_order"))
-    parts = [span, distinct_values(lines, "customer_id", "customers")]
+def quality_inputs(lines: DataFrame, report: DataFrame | None = None,
+                   cells: DataFrame | None = None) -> DataFrame:
+    """One row (span_days, median_order, customers, suspicious_share), read off the lattice of
+    the lines (``cells`` where there is one already)."""
+    cells = lattice(lines, (ORDER,)) if cells is None else cells
+    totals = stage(order_totals(cells).select(
+        amount(F.col("units")).alias("v"), "first", "last"), "totals")
+    middle = median(totals, "v")
+    span = totals.agg(whole_days(F.max("last"), F.min("first")).alias("span_days"),
+                      F.lit(middle).cast("double").alias("median_order"))
+    parts = [span, distinct_customers(cells)]
     if report is not None:
         parts.append(suspicious_share(report))
     row = one_row(*parts)

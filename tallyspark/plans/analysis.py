@@ -35,8 +35,8 @@ def analyze(canonical: DataFrame, currency: str = "£", language: str | None = N
             top_categories: int = 12) -> dict[str, DataFrame]:
     """All result tables of one run over a canonicalised frame (with ``drop_reason``).
 
-    Three tables are written to the staging folder and reread: the canonical lines, the
-    customer features, and the scored customers. Everything else is an independent
+    Four tables are written to the staging folder and reread: the canonical lines, their
+    lattice, the customer features, and the scored customers. Everything else is an independent
     DataFrame over one of them. With ``history_path`` the segments are compared with the
     latest earlier run and then appended to it.
     """
@@ -44,11 +44,12 @@ def analyze(canonical: DataFrame, currency: str = "£", language: str | None = N
     canon = stage(canonical, "canonical")
     lines = kept(canon)
     report = small(ingest_report(canon))
-    summary = small(quality.summary(lines))
+    cells = features.lattice(lines)
+    summary = small(quality.summary(lines, cells))
     totals = summary.first()
     quality.require_customers(totals)
 
-    feature_table = stage(features.customer_features(lines), "features")
+    feature_table = stage(features.customer_features(lines, cells=cells), "features")
     scored = stage(clusters.kmeans_labels(stage(
         clusters.scale_features(segments.score_customers(feature_table)), "scaled")), "scored")
     profile = small(segments.segment_profile(scored))
@@ -81,7 +82,7 @@ def analyze(canonical: DataFrame, currency: str = "£", language: str | None = N
             half_even(F.lit(agreement), 3).alias("rfm_kmeans_ari"),
             F.lit(totals.customers).alias("n_customers")),
         "ingest": report,
-        "warnings": quality.warnings(quality.quality_inputs(lines, report),
+        "warnings": quality.warnings(quality.quality_inputs(lines, report, cells),
                                      F.lit(agreement), lang),
         "customers": audience.customer_table(scored, audience.contacts(lines)),
     }

@@ -372,6 +372,7 @@ ORACLE.update({
                  'Pravidlové segmenty a shluky KMeans se téměř neshodují (ARI 0.06) – hranice segmentů jsou nejisté. Bývá to příznak krátké nebo řídké historie.')}""",
     "daily_sales": f"WITH {LINES_TPCH}{_DAILY}{_DAILY_ROWS}",
     "daily_sales_events": f"WITH {LINES_EVENTS}{_DAILY}{_DAILY_ROWS}",
+    "daily_sales_streamed": f"WITH {LINES_EVENTS}{_DAILY}{_DAILY_ROWS}",
     "monthly_curve": f"""WITH {LINES_TPCH}, m AS (
           SELECT date_trunc('month', order_date)::DATE AS p, CAST(sum(units) AS BIGINT) AS units,
                  count(DISTINCT order_id) AS orders FROM lines GROUP BY 1),

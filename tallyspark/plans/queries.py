@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from ..operators import features as feat
 from ..operators import lookalikes as similar
 from ..operators import segments as seg
 from ..operators.canonical import (
-    canonicalize, derived_price, ingest_report, kept, synthetic_order_id)
+    REASON, canonicalize, derived_price, ingest_report, kept, synthetic_order_id)
 from ..operators.header_mapping import column_evidence, map_headers, missing_required
 from ..session import stage, stage_path
 from . import analysis
@@ -29,6 +30,7 @@ from ..sources.dispatch import load, load_exports
 from ..sources.factor_table import read_factors
 from ..sources.partner_shop import read_partner_shop
 from ..sources.retail import read_retail
+from ..streaming.ledger import Ledger
 from .views import lines_events, lines_tpch, order_lines, table
 
 QUERIES = {}
@@ -501,6 +503,20 @@ def daily_sales_events(spark, sf):
     return calendar.daily_sales(lines_events(spark, sf)).withColumn("date", day("date"))
 
 
+@query
+def daily_sales_streamed(spark, sf):
+    """Daily sales of events that arrive in several files, booked micro-batch by micro-batch."""
+    arrivals = stage_path(spark, "arrivals")
+    lines = lines_events(spark, sf).withColumn(REASON, F.lit(None).cast("string"))
+    lines.repartition(4).write.parquet(arrivals)
+    ledger = Ledger(spark, stage_path(spark, "ledger"), timedelta(days=36500))
+    (spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(arrivals)
+     .writeStream.foreachBatch(ledger.sink())
+     .option("checkpointLocation", stage_path(spark, "offsets"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return ledger.daily_sales().withColumn("date", day("date"))
+
+
 @query
 def monthly_curve(spark, sf):
     return calendar.monthly_curve(order_lines(spark, sf))

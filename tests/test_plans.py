@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import calendar, features, products
+from tallyspark.operators import calendar, features, products, quality
 from tallyspark.operators.canonical import canonicalize, kept
 from tallyspark.plans.queries import MESSY_MAPPING, messy_lines
 from tallyspark.plans.views import lines_events, lines_tpch, order_lines
@@ -20,6 +20,15 @@ def test_features_stay_in_the_jvm_without_global_windows(spark, folder):
     assert "Python" not in text and "Window" not in text and "CartesianProduct" not in text
 
 
+def test_every_input_is_read_once(spark, folder):
+    """Counts, modes and sums come from one staged table of the lines."""
+    lines = lines_tpch(spark, folder)
+    assert plan(lines).count("Scan parquet") == 5
+    for frame in (features.customer_features(lines, datetime(2002, 1, 1)), quality.summary(lines),
+                  quality.quality_inputs(lines)):
+        assert "lineitem" not in plan(frame) and "orders.parquet" not in plan(frame)
+
+
 def test_filters_and_columns_reach_the_scan(spark, folder):
     text = plan(calendar.daily_sales(order_lines(spark, folder)))
     assert "Not(EqualTo(l_returnflag,R))" in text
