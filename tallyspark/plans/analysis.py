@@ -38,7 +38,7 @@ def analyze(canonical: DataFrame, currency: str = "£", language: str | None = N
     Four tables are written to the staging folder and reread: the canonical lines, their
     lattice, the customer features, and the scored customers. Everything else is an independent
     DataFrame over one of them. With ``history_path`` the segments are compared with the
-    latest earlier run and then appended to it.
+    latest earlier run, and ``save`` adds them to it.
     """
     symbol, lang = symbol_and_language(currency, language, source)
     canon = stage(canonical, "canonical")
@@ -91,13 +91,23 @@ def analyze(canonical: DataFrame, currency: str = "£", language: str | None = N
         earlier = sinks.previous_snapshot(canonical.sparkSession, history_path, run_id)
         if earlier is not None:
             tables["migration"] = history.migration(earlier, scored)
-        sinks.append_snapshot(scored, history_path, run_id, totals.date_to)
+        tables["snapshot"] = scored.select(
+            "customer_id", "segment", F.lit(totals.date_to).alias("date_to"),
+            F.lit(run_id).alias("run_id"))
     return tables
 
 
-def save(tables: dict[str, DataFrame], path: str) -> None:
-    """Write every result table as parquet below ``path``."""
+def save(tables: dict[str, DataFrame], path: str, history_path: str | None = None) -> None:
+    """Write every result table as parquet below ``path``, then the segments to the history.
+
+    The history is committed last: a run that is not saved to its end leaves none, and one that
+    is saved again replaces its own.
+    """
     sinks.write_tables(tables, path)
+    if history_path and "snapshot" in tables:
+        run = tables["snapshot"].select("run_id", "date_to").first()
+        if run is not None:
+            sinks.append_snapshot(tables["snapshot"], history_path, run.run_id, run.date_to)
 
 
 def mailing_tables(tables: dict[str, DataFrame], language: str = "en",

@@ -541,7 +541,7 @@ ORACLE.update({
         SELECT count(*) AS customers, 5::BIGINT AS clusters, true AS halved FROM scaled""",
     "silhouette_sampled": f"""WITH {LINES_TPCH}{SCORED}{SCALED},
         pt AS (SELECT customer_id, segment, {', '.join('z_' + c for c in _MODEL)} FROM scaled
-               ORDER BY md5(customer_id), customer_id LIMIT 3000),
+               ORDER BY md5(customer_id), customer_id LIMIT 500),
         size AS (SELECT segment, count(*) AS n FROM pt GROUP BY 1),
         gap AS (SELECT p.customer_id, p.segment AS own, q.segment AS other,
                    sum(sqrt({' + '.join(f'(p.z_{c} - q.z_{c}) ** 2' for c in _MODEL)})) AS total
@@ -632,6 +632,16 @@ rec AS (SELECT segment AS audience, customer_id,
 _ESTIMATES = """SELECT segment, customers, assumed_response_rate, expected_responders, est_incremental_revenue FROM est"""
 
 ORACLE.update({
+    "migration_between_runs": f"""WITH {LINES_TPCH_ALL},
+        lines_p AS (SELECT * FROM all_lines WHERE return_flag <> 'R' AND order_date < TIMESTAMP '1997-08-01'),
+        lines_c AS (SELECT * FROM all_lines WHERE return_flag <> 'R' AND order_date < TIMESTAMP '1999-01-01')
+        {_suffixed(SCORED, _CHAIN, 'p')} {_suffixed(SCORED, _CHAIN, 'c')},
+        both_ AS (SELECT coalesce(p.customer_id, c.customer_id) AS customer_id, p.segment AS b, c.segment AS a
+                  FROM scored_p p FULL OUTER JOIN scored_c c USING (customer_id))
+        SELECT CASE WHEN b IS NULL THEN 'entered' WHEN a IS NULL THEN 'left' ELSE 'moved' END AS change,
+               CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN b ELSE '' END AS "from",
+               CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a ELSE '' END AS "to", count(*) AS customers
+        FROM both_ WHERE a IS DISTINCT FROM b GROUP BY 1, 2, 3""",
     "segment_migration": f"""WITH {LINES_TPCH_ALL},
         lines_p AS (SELECT * FROM all_lines WHERE return_flag <> 'R' AND order_date < TIMESTAMP '1997-01-01'),
         lines_c AS (SELECT * FROM all_lines WHERE return_flag <> 'R' AND CAST(customer_id AS BIGINT) % 9 <> 0)
@@ -653,6 +663,9 @@ ORACLE.update({
                CASE WHEN said IS NULL THEN source ELSE 'owner-discount' END AS source, discount_kind, discount_code
         FROM cards LEFT JOIN given USING (segment)""",
     "contacts": f"WITH {CONTACT_LINES}{CONTACTS} SELECT * FROM contact",
+    "audience_files": f"WITH {CONTACT_LINES}{SCORED}{RECIPIENTS} SELECT * FROM rec",
+    "csv_export": """SELECT c_custkey AS customer, list_extract(['''=', '''+', '''-', '''@', '', '"a, b" '], CAST(c_custkey % 6 + 1 AS INTEGER))
+          || c_name AS name, c_mktsegment AS segment FROM customer""",
     "audience_export": f"WITH {CONTACT_LINES}{SCORED}{RECIPIENTS} SELECT * FROM rec",
     "mailings": f"""WITH {CONTACT_LINES}{PROFILE}{RECIPIENTS}{_cards(_BOOK_EN, 'x', prospects=False)}
         SELECT segment, channel, headline AS subject,

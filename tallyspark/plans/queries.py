@@ -713,7 +713,7 @@ def silhouette(spark, sf):
 @query
 def silhouette_sampled(spark, sf):
     """A sample is the feature here; both sides draw the same one."""
-    return clusters.silhouette_sampled(scaled_tpch(spark, sf), "segment", 3000).select(
+    return clusters.silhouette_sampled(scaled_tpch(spark, sf), "segment", 500).select(
         half_even(F.col("silhouette"), 6).alias("silhouette"))
 
 
@@ -742,7 +742,8 @@ def kmeans_facts(spark, sf):
 
 @query
 def segment_migration(spark, sf):
-    """Segments of all orders against those known before 2000, through the history table."""
+    """Segments of all orders against those known before 1997, through the history table. Every
+    ninth customer is left out of the later run, so that some leave."""
     path = stage_path(spark, "history")
     lines = order_lines(spark, sf)
 
@@ -757,6 +758,27 @@ def segment_migration(spark, sf):
     return history.migration(sinks.previous_snapshot(spark, path, "run-2"), current)
 
 
+@query
+def migration_between_runs(spark, sf):
+    """Three runs of the history, one of them written twice and one that never ended: the
+    customers who moved between the first and the last committed one."""
+    path = stage_path(spark, "history")
+    lines = order_lines(spark, sf)
+
+    def run(number, end):
+        cut = F.lit(f"{end} 00:00:00").cast("timestamp_ntz")
+        scored = seg.score_customers(feat.customer_activity(lines.where(F.col("order_date") < cut)))
+        sinks.append_snapshot(scored, path, f"run-{number}", end)
+
+    run(1, "1997-08-01")
+    run(2, "2001-01-01")
+    run(2, "1999-01-01")
+    aborted = sinks.snapshot(spark, path, "run-1").withColumn("segment", F.lit("New"))
+    sinks.write_snapshot(aborted, path, "run-3", "2000-01-01")
+    return history.migration(sinks.snapshot(spark, path, "run-1"),
+                             sinks.previous_snapshot(spark, path, "run-9"))
+
+
 # --- campaigns ----------------------------------------------------------------------------------
 
 @query
@@ -841,6 +863,27 @@ def audience_export(spark, sf):
     return _recipients(spark, sf)[1]
 
 
+@query
+def audience_files(spark, sf):
+    """The recipients written as audience files of even size, and read back."""
+    path = stage_path(spark, "audiences")
+    sinks.write_audiences(_recipients(spark, sf)[1], path, rows_per_file=200)
+    return sinks.read_audiences(spark, path)
+
+
+@query
+def csv_export(spark, sf):
+    """Customers with names that a spreadsheet would run, written as CSV and read back."""
+    path = stage_path(spark, "csv")
+    sign = F.element_at(F.array(*map(F.lit, ["=", "+", "-", "@", "", "\"a, b\" "])),
+                        (F.col("c_custkey") % 6 + 1).cast("int"))
+    sinks.write_csv(table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("customer"), F.concat(sign, "c_name").alias("name"),
+        F.col("c_mktsegment").alias("segment")), path)
+    return spark.read.schema("customer long, name string, segment string").csv(
+        path, header=True, escape='"')
+
+
 @query
 def mailings(spark, sf):
     scored, rows = _recipients(spark, sf)

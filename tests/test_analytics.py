@@ -314,6 +314,14 @@ def test_history(spark, tmp_path):
     assert {(r.change, r["from"], r["to"], r.customers) for r in got.collect()} == {
         ("moved", "Champions", "At-risk", 1), ("entered", "", "", 1)}
     assert sinks.new_run_id() < sinks.new_run_id()
+    # A run that ended half-way is not seen; one that is written again replaces itself.
+    sinks.write_snapshot(first, path, "r3", "2025-03-01")
+    sinks.append_snapshot(second, path, "r2", "2025-02-01")
+    assert sinks.committed_runs(spark, path) == ["r1", "r2"]
+    assert sinks.previous_snapshot(spark, path, "r9").count() == 4
+    assert sinks.snapshot(spark, path, "r1").count() == 3
+    with pytest.raises(UnusableInput):
+        sinks.snapshot(spark, path, "r3")
 
 
 def test_estimates_and_priority(spark):
@@ -420,3 +428,20 @@ def test_end_to_end(spark, folder, tmp_path):
     sinks.write_csv(result["customers"], str(tmp_path / "csv"))
     analysis.save({"kpis": result["kpis"]}, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/kpis")).count() == 1
+    assert sinks.committed_runs(spark, str(tmp_path / "h")) == []
+    analysis.save({"snapshot": result["snapshot"]}, str(tmp_path / "out"), str(tmp_path / "h"))
+    assert sinks.committed_runs(spark, str(tmp_path / "h")) == ["1"]
+
+
+def test_audience_files_are_even(spark, tmp_path):
+    """A third of all recipients in one audience: its files are as large as those of others."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("a"), F.col("id") % 20))
+        .alias("audience"), F.col("id").cast("string").alias("customer_id"),
+        F.lit("").alias("email"), F.concat(F.lit("n"), "id").alias("name"))
+    sinks.write_audiences(rows, str(tmp_path / "x"), rows_per_file=100)
+    back = sinks.read_audiences(spark, str(tmp_path / "x"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    sizes = [r["count"] for r in spark.read.json(str(tmp_path / "x")).groupBy(
+        F.input_file_name(), "audience").count().collect()]
+    assert max(sizes) <= 200 and len(sizes) < 60
