@@ -43,10 +43,12 @@ TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)
     |[!?][^>]*+>)""", re.S | re.X)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark "
-             "nobr q ruby s samp small span strike strong sub sup time tt u var wbr".split())
+             "nobr q ruby s samp small span strike strong sub sup time tt u var wbr "
+             "math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext "
+             "munder munderover semantics".split())
 #: Text to its end tag, whatever stands in it; and elements that are left out if they have one.
 RAW = set("script style title textarea".split())
-UNREAD = set("noscript template iframe object svg math select canvas audio video".split())
+UNREAD = set("noscript template iframe object svg select canvas audio video".split())
 EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of this name ends an open element of these names.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},

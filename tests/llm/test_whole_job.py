@@ -160,6 +160,7 @@ def test_a_row_of_numbers_without_values_stays():
     ("<body><object data=x><p>a</p><iframe src=y><p>b</p></body>", ["a", "b"]),
     ("<noscript><template><p>a</p>", ["a"]),
     ("<object>x<object>y</object>z</object><p>a</p>", ["a"]),
+    ("<p>a <math><mi>x</mi><mo>=</mo><msup><mn>2</mn><mi>n</mi></msup></math> b</p>", ["a x=2n b"]),
     ("<p>a</p><script>x = '</p>'<p>b", ["a"])])
 def test_unclosed_elements_lose_nothing(page, texts):
     assert [b.text for b in html_blocks.blocks_of(page)] == texts
