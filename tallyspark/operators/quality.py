@@ -49,7 +49,7 @@ def summary(lines: DataFrame, cells: DataFrame | None = None) -> DataFrame:
         F.date_format(F.min("first"), "yyyy-MM-dd").alias("date_from"),
         F.date_format(F.max("last"), "yyyy-MM-dd").alias("date_to"),
         half_even(grand_total(F.col("units")), 2).alias("revenue"),
-        half_even(grand_total(F.col("units")) / F.count("order_id"), 2)
+        half_even(F.try_divide(grand_total(F.col("units")), F.count("order_id")), 2)
         .alias("avg_order_value"))
     countries = cells_of(cells, COUNTRY).select("key").distinct().agg(
         F.count("key").alias("countries"))

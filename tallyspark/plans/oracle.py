@@ -248,6 +248,11 @@ ORACLE.update({
                           WHEN NOT price > 0 THEN 'non-positive price' ELSE 'kept' END AS reason FROM p
               UNION ALL SELECT 'unparseable date' FROM orders WHERE o_orderkey % 1000 < 4)
         SELECT reason, count(*) AS rows FROM r GROUP BY 1""",
+    "export_ragged": f"""WITH {LINES_TPCH_ALL}, p AS (SELECT *, {_LIST_PRICE} AS price FROM all_lines)
+        SELECT customer_id, order_id, strftime(order_date, '%Y-%m-%d') AS order_day, quantity,
+               price AS unit_price, quantity * price AS line_value,
+               CASE line_number % 3 WHEN 1 THEN 'whole' WHEN 2 THEN 'long' ELSE '' END AS product, '' AS country
+        FROM p WHERE quantity > 0 AND price > 0""",
     "export_dialects": """
         SELECT 'semicolon' AS folder, 'cp1250' AS encoding, ';' AS delimiter, FALSE AS multiline,
                CAST(0 AS INTEGER) AS skipped_rows, 'zákazník|datum|celkem|event_type' AS header
@@ -370,6 +375,15 @@ ORACLE.update({
                  'Rule-based segments and KMeans clusters barely agree (ARI 0.06) — segment boundaries are uncertain. Often a symptom of a short or sparse history.')}
         UNION ALL {_warned(_CS_SHORT, 'Jen {} zákazníků – kvantilové segmenty jsou pod ~50 zákazníky hrubé; berte je jako orientační skupiny.',
                  'Pravidlové segmenty a shluky KMeans se téměř neshodují (ARI 0.06) – hranice segmentů jsou nejisté. Bývá to příznak krátké nebo řídké historie.')}""",
+    "unusable_inputs": f"""WITH {LINES_TPCH}, part AS (
+          SELECT 'all' AS input, customer_id FROM lines
+          UNION ALL SELECT 'one customer', customer_id FROM lines WHERE customer_id = (SELECT min(customer_id) FROM lines)),
+        n AS (SELECT input, count(customer_id) AS rows, count(DISTINCT customer_id) AS customers
+              FROM (VALUES ('all'), ('one customer'), ('no lines')) AS c(input) LEFT JOIN part USING (input) GROUP BY 1)
+        SELECT input, rows, customers, CASE WHEN rows = 0 THEN 'no usable rows; check the file or the column mapping'
+          WHEN customers < 2 THEN 'at least two customers are needed' ELSE 'accepted' END AS verdict FROM n""",
+    "factor_first_values": """SELECT strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') AS date,
+          arg_min(value, event_id) FILTER (WHERE event_id % 3 <> 0) AS level FROM events GROUP BY 1""",
     "daily_sales": f"WITH {LINES_TPCH}{_DAILY}{_DAILY_ROWS}",
     "daily_sales_events": f"WITH {LINES_EVENTS}{_DAILY}{_DAILY_ROWS}",
     "daily_sales_streamed": f"WITH {LINES_EVENTS}{_DAILY}{_DAILY_ROWS}",

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import UnusableInput
 from ..functions.dates import date_profile, detect_style, parse_date
 from ..functions.money import amount, half_even
 from ..functions.numbers import locale_number
@@ -377,6 +378,25 @@ def export_repeated_header(spark, sf):
     return ingest_report(load_exports(spark, path))
 
 
+@query
+def export_ragged(spark, sf):
+    """Text rows that are shorter or longer than their header, and blank ones."""
+    path = stage_path(spark, "ragged")
+    lines = lines_tpch(spark, sf, returns=True)
+    row = F.concat_ws("|", "customer_id", "order_id", F.date_format("order_date", "yyyy-MM-dd"),
+                      F.col("quantity").cast("long").cast("string"),
+                      _cents_text(F.col("unit_price"), "."))
+    # Whole rows stand at the head of each file; further down cells are missing or too many.
+    kind = F.col("line_number") % 3
+    text = F.concat(row, F.when(kind == 1, "|whole||").when(kind == 2, "|long||x|y").otherwise(""))
+    blank = F.when(F.col("line_number") == 5, "| | |")
+    name = "client|invoice|created|qty|price|item|note|more"
+    (lines.select(F.explode(F.array_compact(F.array(text, blank))).alias(name), kind.alias("kind"))
+     .repartition(4).sortWithinPartitions(F.col("kind") != 1).select(F.col(f"`{name}`"))
+     .write.option("quote", "").csv(path, header=True, sep="\x01"))
+    return _canonical_rows(kept(load_exports(spark, path)))
+
+
 @query
 def export_dialects(spark, sf):
     """What the dialect profile says about events written in three ways."""
@@ -491,6 +511,25 @@ def quality_warnings(spark, sf):
             .unionByName(quality.warnings(inputs, F.lit(0.06), "cs")))
 
 
+@query
+def unusable_inputs(spark, sf):
+    """Whether an analysis accepts all lines, those of one customer, and none."""
+    lines = lines_tpch(spark, sf)
+    one = lines.agg(F.min("customer_id")).first()[0]
+    found = []
+    for case, some in (("all", lines), ("one customer", lines.where(F.col("customer_id") == one)),
+                       ("no lines", lines.where("quantity < 0"))):
+        row = quality.summary(some).first()
+        try:
+            quality.require_customers(row)
+            verdict = "accepted"
+        except UnusableInput as error:
+            verdict = str(error)
+        found.append((case, row.rows or 0, row.customers, verdict))
+    return spark.createDataFrame(
+        found, "input string, rows long, customers long, verdict string")
+
+
 # --- calendar -------------------------------------------------------------------------------
 
 @query
@@ -738,6 +777,18 @@ def kmeans_facts(spark, sf):
                           (within < F.sum("square") / 2).alias("halved"))
 
 
+@query
+def factor_first_values(spark, sf):
+    """A factor file with many rows per day: the first value read for a day is its value."""
+    path = stage_path(spark, "factors")
+    day_of = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd")
+    (table(spark, sf, "events").select(day_of.alias("date"), "event_id", F.when(
+        F.col("event_id") % 3 != 0, F.col("value")).alias("level"))
+     .repartitionByRange(4, "date").sortWithinPartitions("date", "event_id")
+     .select("date", "level").write.csv(path, header=True))
+    return read_factors(spark, path).select(day("date").alias("date"), "level")
+
+
 # --- history ----------------------------------------------------------------------------------
 
 @query
