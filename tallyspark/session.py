@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,9 +54,29 @@ def staging_root(spark: SparkSession) -> str:
     return _local_root
 
 
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables staged inside belong to one run and are dropped at its end, however
+    it ends. Results that are read off them must be written before.
+
+    A scope inside another has a folder of its own. What other runs have staged is not touched.
+    """
+    folder = f"{_scope.get() or staging_root(spark)}/run-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_path(spark: SparkSession, label: str) -> str:
-    """A path below the staging root that no other call gets."""
-    return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path below the staging root, or the run's folder, that no other call gets."""
+    return f"{_scope.get() or staging_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

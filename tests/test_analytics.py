@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import numpy as np
@@ -5,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark import session
 from tallyspark.errors import UnusableInput
 from tallyspark.functions import order_stats
 from tallyspark.functions.order_stats import Wanted, find_ranks, medians
@@ -433,6 +435,22 @@ def test_end_to_end(spark, folder, tmp_path):
     assert sinks.committed_runs(spark, str(tmp_path / "h")) == ["1"]
 
 
+def test_a_run_leaves_nothing_staged(spark, lines):
+    rows = lines([(f"c{k % 9}", f"o{k}", f"2025-0{1 + k % 6}-11 10:00", 1.0, 5.0 + k, "A", "CZ")
+                  for k in range(40)])
+    with session.run_scope(spark) as folder:
+        summary = quality.summary(rows).first()
+        with session.run_scope(spark) as inner:
+            assert inner.startswith(folder) and session.stage(rows, "x").count() == 40
+        assert not pathlib.Path(inner).exists() and list(pathlib.Path(folder).iterdir())
+    assert summary.rows == 40 and not pathlib.Path(folder).exists()
+    outside = session.stage_path(spark, "x")
+    with pytest.raises(ZeroDivisionError), session.run_scope(spark) as folder:
+        session.stage(rows, "y")
+        1 / 0
+    assert not pathlib.Path(folder).exists() and "/run-" not in outside
+
+
 def test_audience_files_are_even(spark, tmp_path):
     """A third of all recipients in one audience: its files are as large as those of others."""
     rows = spark.range(3000).select(
