@@ -17,8 +17,10 @@ itself, gzipped record by record. The table is written below the shared folder.
 
 Defined results: a null payload is an empty one; empty payloads take part like others; a null
 URL is written as ``urn:page:<id>``; a null date as 1996-01-01 00:00:00; rows with the same
-page id are separate records with equal payload, of which one is the response if the id is
-the largest; a null page id ranks below every other.
+page id are separate records, and of those with equal payload one is the response if the id is
+the largest (by URL, date, and place in the archives); a null page id ranks below every other. A
+payload longer than a part is a part by itself; an empty table gives no archives; columns that
+are not named are not read.
 """
 
 from __future__ import annotations
@@ -219,24 +221,26 @@ def convert(archives: DataFrame, part: int = PART) -> DataFrame:
     Who answers for a payload is decided on (digest, length, page, URL, date) alone; payloads
     are not shuffled unless Spark sorts them beside that table of repeated payloads.
     """
-    found = records(archives)
+    # Archives are read in their order, so a record has the same number whenever it is read.
+    found = records(archives).withColumn("row", F.monotonically_increasing_id())
     first = (found.groupBy("payload_digest", "payload_bytes")
              .agg(F.max(F.struct(F.coalesce("page_id", F.lit(-2**63)).alias("rank"), "page_id",
-                                 "url", "date")).alias("o"), F.count("*").alias("n"))
+                                 "url", "date", "row")).alias("o"), F.count("*").alias("n"))
              .where("n > 1").select("payload_digest", "payload_bytes", "o.*")
-             .withColumnsRenamed({"page_id": "o_page", "url": "o_url", "date": "o_date"}))
+             .withColumnsRenamed({"page_id": "o_page", "url": "o_url", "date": "o_date",
+                                  "row": "o_row"}))
     joined = found.join(first, ["payload_digest", "payload_bytes"], "left").select(
         "page_id", "url", "date", "kind",
-        F.when(F.col("rank").isNull() | F.col("page_id").eqNullSafe(F.col("o_page")),
+        F.when(F.col("rank").isNull() | (F.col("row") == F.col("o_row")),
                F.col("body")).alias("body"),
-        "payload_bytes", "payload_digest", "o_page", "o_url", "o_date", "rank")
+        "payload_bytes", "payload_digest", "o_page", "o_url", "o_date",
+        F.coalesce(F.col("row") != F.col("o_row"), F.lit(False)).alias("again"))
 
-    def work(ids, urls, dates, kinds, bodies, sizes, digests, o_pages, o_urls, o_dates, ranks):
+    def work(ids, urls, dates, kinds, bodies, sizes, digests, o_pages, o_urls, o_dates, agains):
         held, total, done = [], 0, []
-        for page, url, date, kind, body, size, sha1, op, ou, od, rank in zip(
+        for page, url, date, kind, body, size, sha1, op, ou, od, again in zip(
                 ids, urls, dates, kinds, bodies, sizes, digests, o_pages, o_urls, o_dates,
-                ranks, strict=True):
-            again = rank is not None and page != op
+                agains, strict=True):
             original = {"page": str(op), "url": ou, "date": od} if again else None
             held.append(warc_record(url, date, kind, body or b"", sha1, size, original,
                                     "" if page is None else str(page)))

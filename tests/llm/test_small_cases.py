@@ -56,6 +56,18 @@ def test_defined_results(odd, items):
         (6, "revisit", 7), (6, "revisit", 7), (7, "response", None)]
 
 
+def test_one_response_for_a_payload(spark):
+    """Rows with one id, also the largest, and rows without id share a payload."""
+    rows = [(7, "u", "same"), (7, "u", "same"), (7, "v", "same"), (3, "u", "same"),
+            (None, "u", "other"), (None, "u", "other"), (5, "u", "alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn(
+        "fetch_date", F.lit("20200101000000"))
+    got = arc_convert.read_back(arc_convert.convert(arc_convert.to_arc(pages))).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in got) == [
+        (0, "response", 0), (0, "revisit", 0), (3, "revisit", 7), (5, "response", 0),
+        (7, "response", 0), (7, "revisit", 7), (7, "revisit", 7)]
+
+
 def test_urls(spark):
     rows = [(1, "http://a.b.example/x", "2024-03-01"), (1, "http://a.b.example/x", "2024-03-01"),
             (2, None, "2024-03-01"), (3, "http://a.b.example", None), (4, "no url", "2024-03-01"),
