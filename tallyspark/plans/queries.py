@@ -32,7 +32,7 @@ from ..sources.factor_table import read_factors
 from ..sources.partner_shop import read_partner_shop
 from ..sources.retail import read_retail
 from ..streaming.ledger import Ledger
-from .views import lines_events, lines_tpch, order_lines, table
+from .views import lines_events, lines_tpch, order_lines, spread, table
 
 QUERIES = {}
 
@@ -871,7 +871,7 @@ def owner_discounts(spark, sf):
 @query
 def copy_audit(spark, sf):
     """Whole documents as campaign copy, with a voucher phrase added to each."""
-    texts = table(spark, sf, "documents").select("doc_id", F.concat(
+    texts = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", F.concat(
         "text", F.lit(" Use code SAVE"), F.col("doc_id").cast("string"),
         F.when(F.col("doc_id") % 3 == 0, " for 20 % off").otherwise(" today"),
         F.lit(" or KEEP7 now")).alias("copy"))

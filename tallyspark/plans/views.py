@@ -10,6 +10,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan with fewer splits than cores, dealt to all cores; a table of many splits
+    stays where it is. Filters and columns still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def order_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with customer and country: the small joins come first, so the line table is
     shuffled at most once, on the order key."""
@@ -53,7 +60,7 @@ def order_lines(spark: SparkSession, folder: str, returns: bool = False) -> Data
 
 
 def _items(spark, folder, returns):
-    items = table(spark, folder, "lineitem")
+    items = spread(table(spark, folder, "lineitem"), "l_orderkey")
     return items if returns else items.where(F.col("l_returnflag") != "R")
 
 
@@ -71,7 +78,7 @@ def _measures():
 
 def lines_events(spark: SparkSession, folder: str) -> DataFrame:
     """Purchases in the event stream as order lines, one order each, with time of day."""
-    return (table(spark, folder, "events")
+    return (spread(table(spark, folder, "events"), "event_id")
             .where(F.col("event_type") == "purchase")
             .select(
                 F.col("user_id").cast("string").alias("customer_id"),
