@@ -19,7 +19,8 @@ not the smallest are repeats.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; a null id is
 compared with nothing and kept whole; rows with one id are not smaller than one another; the
-judged strings are those of the input, so overlaps count.
+judged strings are those of the input, so overlaps count. Very long texts are compared whole;
+an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

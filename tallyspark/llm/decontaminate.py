@@ -17,7 +17,8 @@ Where a part's hash is met, the item is aligned with the text around it, free at
 the window, and a pair counts if the edits are at most ``max_edit`` of the item's words.
 
 Defined results: null and empty texts and items match nothing; repeated rows give repeated
-results; null ids are returned as null; an item without words is ignored.
+results; null ids are returned as null; an item without words is ignored. Very long texts are
+searched whole; empty tables of either kind give no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ per (length, slice) and row numbers inside a slice, so no task sees all pieces o
 and the driver holds two tables whose size depends on the bin and not on the input.
 
 Defined results: a null text is empty and has only the closing id; null ids and repeated
-rows are packed like others; an empty table gives an empty table.
+rows are packed like others; very long texts are cut into pieces, the last of which may be
+short; an empty table gives an empty table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ values get unequal pseudonyms.
 
 Defined results: a null text stays null, an empty one empty, with no finds; values that fail
 their test stay; dates outside 1900-2099 stay; repeated rows get the same result; a hit is
-never longer or shorter than its value except an IP address, whose octets vary in width.
+never longer or shorter than its value except an IP address, whose octets vary in width. Very
+long texts are searched whole; an empty table gives no rows; columns that are not carried are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -29,7 +29,8 @@ counts as a link.
 
 Defined results: null and empty texts and texts without words have an empty set and link with
 nothing; a null id keeps its count and gets no component; rows with one id are one
-document, and links of each of its texts count; other input columns are ignored.
+document, and links of each of its texts count; very long texts are whole sets, always heavy;
+an empty table gives no rows; other input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ is written anew. Sums do not depend on the order of batches.
 
 Defined results: null sources, languages and texts form keys and counts of their own (a null
 text has no tokens); repeated rows count as often as they occur; keys whose documents and
-tokens are all taken away again stay with zeros; no batches give an empty table.
+tokens are all taken away again stay with zeros; no batches give an empty table. Very long texts
+are counted whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

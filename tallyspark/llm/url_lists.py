@@ -11,7 +11,8 @@ be split. Only column functions are used.
 Defined results: a null URL, or one without a host, and a null day are kept and never blocked;
 repeated captures each get their verdict; of entries for one pattern, category and day a
 removal counts last; repeated entries count once; entries without pattern, category or day are
-ignored.
+ignored. Empty captures give no rows, empty lists block nothing; very long URLs are read whole;
+other columns of either table are not read, whatever their names.
 """
 
 from __future__ import annotations
