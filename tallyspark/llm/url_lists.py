@@ -23,13 +23,14 @@ from pyspark.sql import Window
 
 from .common import column
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of a URL without final dot; null where there is none."""
-    host = F.lower(F.regexp_extract(url, HOST, 1))
-    return F.when(host != "", F.regexp_replace(host, r"\.$", ""))
+    """Lower-case host of a URL without final dot, an address in brackets with them; null where
+    there is none."""
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", ""),
+                    F.lit(""))
 
 
 def month(day: Column) -> Column:

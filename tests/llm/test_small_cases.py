@@ -91,6 +91,14 @@ def test_urls(spark):
     assert url_lists.judge_captures(captures, entries.where("false")).where("blocked").count() == 0
 
 
+@pytest.mark.parametrize("url,host", [
+    ("http://[::1]:80/x", "[::1]"), ("http://./x", None), ("http://a.B./x", "a.b"), ("http://", None),
+    ("http://u:p@c.example:8080?q", "c.example"), ("no url", None), (None, None), ("http://[::1", None)])
+def test_hosts(spark, url, host):
+    frame = spark.createDataFrame([(url,)], "url string")
+    assert frame.select(url_lists.host_of(F.col("url"))).first()[0] == host
+
+
 def test_rollup_counts_a_batch_once(spark, tmp_path, docs):
     counts = token_rollup.token_counts(docs([(1, "a b c"), (2, None), (None, "d", None, None)]),
                                        {"words-1": ""})
