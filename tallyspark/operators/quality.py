@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import UnusableInput
 from ..functions.dates import whole_days
-from ..functions.money import amount, grand_total, half_even
+from ..functions.money import amount, grand_total, half_even, sum_units
 from ..functions.order_stats import median
 from ..schema import SUSPICIOUS_REASONS
 from ..session import stage
@@ -31,6 +31,11 @@ def order_totals(cells: DataFrame) -> DataFrame:
         F.max("last_line").alias("last"))
 
 
+def distinct_values(df: DataFrame, column: str, name: str) -> DataFrame:
+    """One row with the exact number of distinct non-null values."""
+    return df.select(column).distinct().agg(F.count(column).alias(name))
+
+
 def distinct_customers(cells: DataFrame) -> DataFrame:
     return cells_of(cells, ORDER).select("customer_id").distinct().agg(
         F.count("customer_id").alias("customers"))
@@ -39,11 +44,14 @@ def distinct_customers(cells: DataFrame) -> DataFrame:
 def summary(lines: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Rows, customers, orders, countries, date range, revenue and mean order value.
 
-    Read off the lattice of the lines (``cells`` where there is one already), so they are gone
-    through once, and no aggregation has several distinct counts.
+    Read off the lattice of the lines where there is one; for these few figures alone three
+    narrow aggregations cost less than making one. None has several distinct counts, which would
+    send every line three times through the shuffle.
     """
-    cells = lattice(lines, (ORDER, COUNTRY)) if cells is None else cells
-    orders = order_totals(cells).agg(
+    totals = order_totals(cells) if cells is not None else lines.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("rows"), sum_units(F.col("line_value")).alias("units"),
+        F.min("order_date").alias("first"), F.max("order_date").alias("last"))
+    orders = totals.agg(
         F.sum("rows").alias("rows"),
         F.count("order_id").alias("orders"),
         F.date_format(F.min("first"), "yyyy-MM-dd").alias("date_from"),
@@ -51,9 +59,11 @@ def summary(lines: DataFrame, cells: DataFrame | None = None) -> DataFrame:
         half_even(grand_total(F.col("units")), 2).alias("revenue"),
         half_even(F.try_divide(grand_total(F.col("units")), F.count("order_id")), 2)
         .alias("avg_order_value"))
-    countries = cells_of(cells, COUNTRY).select("key").distinct().agg(
-        F.count("key").alias("countries"))
-    return one_row(orders, distinct_customers(cells), countries)
+    if cells is None:
+        return one_row(orders, distinct_values(lines, "customer_id", "customers"),
+                       distinct_values(lines, "country", "countries"))
+    return one_row(orders, distinct_customers(cells),
+                   distinct_values(cells_of(cells, COUNTRY), "key", "countries"))
 
 
 def require_customers(summary_row) -> None:

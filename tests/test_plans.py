@@ -24,8 +24,9 @@ def test_every_input_is_read_once(spark, folder):
     """Counts, modes and sums come from one staged table of the lines."""
     lines = lines_tpch(spark, folder)
     assert plan(lines).count("Scan parquet") == 5
-    for frame in (features.customer_features(lines, datetime(2002, 1, 1)), quality.summary(lines),
-                  quality.quality_inputs(lines)):
+    cells = features.lattice(lines)
+    for frame in (features.customer_features(lines, datetime(2002, 1, 1)),
+                  quality.summary(lines, cells), quality.quality_inputs(lines)):
         assert "lineitem" not in plan(frame) and "orders.parquet" not in plan(frame)
 
 
