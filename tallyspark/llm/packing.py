@@ -19,6 +19,7 @@ short; an empty table gives an empty table; other columns are not read, whatever
 from __future__ import annotations
 
 import math
+import struct
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -33,6 +34,8 @@ from tallyspark.session import stage
 from .common import column, map_batches, remembered
 
 SIZE, CLOSING = 2048, 0
+#: Marks that may close a word of letters.
+MARKS = ".,;:!?*$%&#"
 
 
 def byte_letters() -> list[str]:
@@ -43,44 +46,51 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds(dict):
     """Ids (little-endian 32-bit) of a word between blanks, by a tokenizer without context
     across blanks. Words of Latin letters with closing marks are looked up by part."""
 
-    LIMIT = 250_000
+    #: Words, and as many parts, that are remembered: some 250 MB of a worker at most.
+    LIMIT = 1_000_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = byte_letters()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
         self.parts: dict[str, bytes] = {}
 
     def _whole(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def _part(self, part: str) -> bytes:
-        known = self.parts.get(part)
-        if known is None:
-            if len(self.parts) >= self.LIMIT:
-                self.parts.clear()
-            spelled = "".join([self.letters[b] for b in part.encode()])
-            found = self.tokenizer.model.tokenize(spelled)
-            self.parts[part] = known = np.array([t.id for t in found], "<u4").tobytes()
-        return known
+        """``part``: lower-case Latin letters, or closing marks."""
+        if len(self.parts) >= self.LIMIT:
+            self.parts.clear()
+        # ASCII letters and marks stand for their own bytes.
+        spelled = part if part.isascii() else (
+            part.encode().decode("latin-1").translate(self.letters))
+        self.parts[part] = ids = _packed([token.id for token in self.tokenize(spelled)])
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
         text = word.decode(errors="replace")
-        bare = text.rstrip(".,;:!?*$%&#")
+        bare = text.rstrip(MARKS)
         # Letters below U+0100 have one lower case and are their own normal form.
-        if bare.isalpha() and max(bare) < "Ā":
-            value = self._part(bare.lower())
+        if bare.isalpha() and (bare.isascii() or max(bare) < "Ā"):
+            low, known = bare.lower(), self.parts.get
+            value = known(low) or self._part(low)
             if len(bare) < len(text):
-                value += self._part(text[len(bare):])
+                marks = text[len(bare):]
+                value += known(marks) or self._part(marks)
         else:
             value = self._whole(unicodedata.normalize("NFC", text))
         self[word] = value

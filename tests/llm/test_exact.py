@@ -1,5 +1,6 @@
 """Whole queries against SQL, brute force, an exact round trip or held-out accuracy."""
 
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -222,6 +223,24 @@ def test_word_ids_are_the_tokenizers(text):
     assert got == known.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_keep_the_words_of_a_large_vocabulary():
+    known = packing.WordIds(vocabulary())
+    words = ["".join(x) for x in itertools.product("bcdfghjklm", "aeiou", "nprstvwxyz", "aeiou",
+                                                   "bcdfghjklm", "aeioul")]
+    known.of(" ".join(words).encode())
+    known.of(" ".join(f"{w}." for w in words).encode())
+    assert len(known) == 2 * len(words) == 300_000
+
+
+def test_word_ids_do_not_depend_on_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(packing.WordIds, "LIMIT", 3)
+    known = packing.WordIds(vocabulary())
+    text = "Été, one two! three ... four ÉTÉ one; x2 ?? two ß ªµ one"
+    for _ in range(2):
+        got = np.frombuffer(known.of(text.encode()), "<u4").tolist()
+        assert got == known.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_exchange_of_the_smallest_piece():
     plan = packing.plan_bins({6: 1, 3: 1, 2: 2}, 10)
     assert plan[0] == ([6, 2, 2], 1)
