@@ -16,7 +16,7 @@ from tallyspark.functions.text import (
 from tallyspark.operators import (
     audience, calendar, campaigns, clusters, factors, features, history, lookalikes,
     products, quality, segments)
-from tallyspark.plans import analysis
+from tallyspark.plans import analysis, queries
 from tallyspark.sources.catalog_table import append_catalog, read_catalog
 from tallyspark.sources.dispatch import load
 from tallyspark.sources.factor_table import read_factors
@@ -182,6 +182,35 @@ def test_silhouette_equals_brute_force(spark):
         assert abs(result.first().silhouette - np.mean(s)) < 1e-9
 
 
+def test_the_query_of_the_euclidean_silhouette_takes_all_customers(spark):
+    """1500 customers, by brute force; near and equal points of one cluster and of two."""
+    scaled = queries.scaled_tpch(spark, "/root/testdata/sf0.01")
+    got = queries.QUERIES["silhouette_sampled"](spark, "/root/testdata/sf0.01").first().silhouette
+    frame = scaled.select("segment", *clusters.SCALED).toPandas()
+    assert len(frame) > 500 and abs(got - brute_silhouette(frame)) < 1e-6
+    near = pd.concat([frame[:90], frame[:40], frame[20:60].assign(segment="New"),
+                      frame[:30].assign(z_recency=frame.z_recency[:30] + 1e-9),
+                      frame[:1].assign(segment="alone"), frame[:1].assign(segment=None)])
+    for block in (17, 1000):
+        got = clusters.silhouette_euclidean(spark.createDataFrame(near), "segment", block)
+        assert abs(got.first().silhouette - brute_silhouette(near.fillna("?"))) < 1e-9
+
+
+def brute_silhouette(frame):
+    x, names = frame[clusters.SCALED].to_numpy(), frame.segment.to_numpy()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    scores = []
+    for i in range(len(x)):
+        own = (names == names[i]) & (np.arange(len(x)) != i)
+        if not own.any():
+            scores.append(0.0)
+            continue
+        a = d[i, own].mean()
+        b = min(d[i, names == k].mean() for k in set(names) - {names[i]})
+        scores.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return np.mean(scores)
+
+
 def test_the_sampled_silhouette_always_samples(spark):
     scaled = clusters.scale_features(customers(spark, 120))
     some = clusters.silhouette_sampled(scaled, "segment", 40).first().silhouette
