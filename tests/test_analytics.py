@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,28 @@ def test_the_query_of_the_euclidean_silhouette_takes_all_customers(spark):
         assert abs(got.first().silhouette - brute_silhouette(near.fillna("?"))) < 1e-9
 
 
+def test_a_block_that_meets_itself_measures_each_pair_once(monkeypatch):
+    """Points of three clusters with weights; sums by cluster, of one block and of two."""
+    rng, n, measured = np.random.default_rng(2), 1500, []
+    x, own, weight = rng.normal(size=(n, 6)), rng.integers(0, 3, n), rng.integers(1, 4, n)
+    table = pa.table({"point": np.arange(n) * 7, "own": own, "weight": weight,
+                      **dict(zip(clusters.SCALED, x.T))})
+    true = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    root = np.sqrt
+    monkeypatch.setattr(np, "sqrt", lambda g, **more: measured.append(g.size) or root(g, **more))
+    parts = [np.arange(n) < 600, np.arange(n) >= 600]
+    for a, b, pairs in ((0, 0, 0.7 * 600 ** 2), (1, 1, 0.7 * 900 ** 2), (0, 1, 600 * 900)):
+        measured.clear()
+        got = clusters._gaps(3)((pa.scalar(a), pa.scalar(b)), table.filter(pa.array(parts[a])),
+                                table.filter(pa.array(parts[b])))
+        assert sum(measured) <= pairs
+        found = dict(zip(got["point"].to_pylist(), got["totals"].to_pylist()))
+        for mine, other in {(a, b), (b, a)}:
+            for i in np.flatnonzero(parts[mine]):
+                want = [(true[i] * weight)[parts[other] & (own == c)].sum() for c in range(3)]
+                assert np.allclose(found[i * 7], want, rtol=1e-9)
+
+
 def brute_silhouette(frame):
     x, names = frame[clusters.SCALED].to_numpy(), frame.segment.to_numpy()
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
