@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 # Delimiters an export may use.
 DELIMITERS = ",|;\t"
 # Lines that tell the delimiter, and lines among which a header is looked for.
@@ -50,8 +54,7 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
     else ISO-8859-1. ``multiline`` is set when some line leaves a quote open.
     """
     line = F.col("value")
-    quotes = F.length(line.cast("binary")) - F.length(
-        F.replace(_latin1(line), F.lit('"'), F.lit("")))
+    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
     return (_lines(spark, path).groupBy("file").agg(
         F.bool_and(F.is_valid_utf8(line)).alias("utf8"),
         F.bool_or(~F.is_valid_utf8(line)
@@ -70,22 +73,28 @@ def head_lines(spark: SparkSession, path: str, most: int = HEADER_WITHIN + 1) ->
     first of them, without sorting the block.
     """
     first = _lines(spark, path).where(F.col("block_start") == 0).select(
-        "file", _latin1(F.col("value")).alias("raw"))
+        "file", F.col("value").cast("binary").alias("raw"))
 
     def run(batches):
         file, rank, empty = None, 0, 0
         for batch in batches:
-            out = []
-            for name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if name != file:
-                    file, rank, empty = name, 0, 0
-                if rank >= most:
-                    continue
-                if _FILLED.search(raw):
-                    rank += 1
-                    out.append({"file": name, "rank": rank, "raw": raw, "empty": empty})
-                elif raw.strip():
-                    empty += 1
+            out, at = [], 0
+            names, raws = batch.columns
+            # Most lines are below the first of a long file, and are passed over at once.
+            ends = pc.fill_null(pc.not_equal(names[1:], names[:-1]), True).to_numpy(
+                zero_copy_only=False) if len(names) > 1 else np.zeros(0, bool)
+            for end in [*(np.flatnonzero(ends) + 1).tolist(), len(names)]:
+                if end > at and names[at].as_py() != file:
+                    file, rank, empty = names[at].as_py(), 0, 0
+                while rank < most and at < end:
+                    raw = raws[at].as_py().decode("latin-1")
+                    at += 1
+                    if _FILLED.search(raw):
+                        rank += 1
+                        out.append({"file": file, "rank": rank, "raw": raw, "empty": empty})
+                    elif raw.strip():
+                        empty += 1
+                at = end
             yield pa.RecordBatch.from_pylist(out, schema=_HEADS)
 
     return first.mapInArrow(run, "file string, rank int, raw string, empty int")
@@ -153,9 +162,10 @@ def repaired_names(headers: DataFrame) -> DataFrame:
 def dialect_profile(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file below ``path``: encoding, quoting, delimiter, header row and
     column names; ``plain`` where the header is the first line that is not empty."""
-    facts = file_facts(spark, path)
-    heads = head_lines(spark, path).join(facts.select("file", "encoding"), "file").select(
-        "file", "rank", "empty", decoded(F.col("raw"), F.col("encoding")).alias("line"))
+    # A row per file and a few lines of each, read several times below: written once.
+    facts = stage(file_facts(spark, path), "facts")
+    heads = stage(head_lines(spark, path).join(facts.select("file", "encoding"), "file").select(
+        "file", "rank", "empty", decoded(F.col("raw"), F.col("encoding")).alias("line")), "heads")
     heads = heads.join(delimiters(heads), "file", "left").withColumn(
         "delimiter", F.coalesce("delimiter", F.lit(",")))
     split = F.when(F.lit(False), F.array(F.col("line")))

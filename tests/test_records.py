@@ -4,9 +4,12 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 
 from tallyspark.operators.canonical import ingest_report, kept
+from tallyspark.sources import records
+from tallyspark.sources.dialects import dialect_profile
 from tallyspark.sources.dispatch import load_exports
 from tallyspark.sources.records import inside_after, read_records
 
@@ -92,3 +95,62 @@ def test_only_the_first_header_is_left_out(spark, tmp_path, splits, size, titles
     splits(size)
     report = {r.reason: r.rows for r in ingest_report(load_exports(spark, str(tmp_path))).collect()}
     assert report == {"kept": 81, "unparseable date": 3}
+
+
+class Lines:
+    """Lines of blocks that are gone through here."""
+
+    def __init__(self, blocks, size):
+        rows = [(line, f"f{k % 2}", k) for k, some in enumerate(blocks) for line in some]
+        table = pa.table(dict(zip(("line", "file", "block"), zip(*rows))),
+                         pa.schema([("line", pa.binary()), ("file", pa.string()), ("block", pa.int64())]))
+        self.batches = table.to_batches(max_chunksize=size)
+
+    def mapInArrow(self, run, kinds):
+        return [r for b in run(iter(self.batches)) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("size", [7, 10_000])
+def test_lines_are_gone_through_many_at_a_time(monkeypatch, size):
+    """Line by line only as long as a block's two starts differ; the same ends as line by line."""
+    rng, calls, one = random.Random(5), [], inside_after
+    blocks = [random_file(rng, 200).encode().split(b"\n")[rng.randrange(40):] for _ in range(12)]
+    blocks.append([b"no quote at all"] * 30)
+    blocks.append([b'x;"open'] + [b"no quote"] * 50)
+    monkeypatch.setattr(records, "inside_after", lambda *a: calls.append(a) or one(*a))
+    got = records.block_ends(Lines(blocks, size), ";")
+    want = []
+    for some in blocks:
+        state = [False, True]
+        for line in some:
+            state = [one(line, s, b";") for s in state]
+        want.append(tuple(state))
+    assert [(r["from_out"], r["from_in"]) for r in got] == want
+    assert len(calls) < 0.2 * sum(map(len, blocks))
+
+
+def test_records_of_any_text():
+    """What the patterns find is what the state of every line tells."""
+    rng = random.Random(6)
+    patterns = records._Patterns(";")
+    for _ in range(20_000):
+        text = b"".join(rng.choice([b'"', b";", b"\n", b"a", b"\r", b'""'])
+                        for _ in range(rng.randrange(14))) + b"\n"
+        for start in (False, True):
+            state, ends, at = start, [], 0
+            for line in text[:-1].split(b"\n"):
+                state, at = inside_after(line, state, b";"), at + len(line) + 1
+                ends += [] if state else [at]
+            assert patterns.split(text, start) == (
+                (ends[0] if ends else -1) if start else 0, ends[-1] if ends else 0), (text, start)
+        whole = text[:patterns.split(text, False)[1]]
+        assert records._many(whole, "utf-8", ";", 3, patterns) == [
+            r for m in patterns.record.finditer(whole) if m.group()
+            for r in records._cells(m.group()[:-1], "utf-8", ";", 3)], whole
+
+
+def test_the_first_lines_of_files_are_read_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Report\nname;text;more\na;b;c\n" + 'a;"b\nb";c\n' * 40)
+    profile = dialect_profile(spark, str(tmp_path))
+    assert "Scan text" not in profile._jdf.queryExecution().executedPlan().toString()
+    assert [(r.skipped_rows, r.columns) for r in profile.collect()] == [(1, ["name", "text", "more"])]
